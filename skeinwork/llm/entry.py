@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import mixing, quality_rules
+from skeinwork.llm import mixing, packing, quality_rules, store
+from skeinwork.llm.common import scratch_path
+
+#: Public vocabulary files, by operator; the operators take any path.
+PACKING_VOCABULARY, STORE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +25,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_mix_sources)}
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    store.write(table(spark, sf_dir, "documents"), path, vocabulary(STORE_VOCABULARY))
+    return store.checksums(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_best_two_fit, op6_mix_sources, op9_token_store)}
