@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import mixing, packing, quality_rules, store
+from skeinwork.llm import mixing, packing, pii, quality_rules, store
 from skeinwork.llm.common import scratch_path
 
 #: Public vocabulary files, by operator; the operators take any path.
@@ -39,4 +39,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.checksums(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_best_two_fit, op6_mix_sources, op9_token_store)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_best_two_fit, op6_mix_sources, op9_token_store, op10_personal_data)}
