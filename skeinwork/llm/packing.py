@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import blocks, stored, text_batches, text_views
-from skeinwork.llm.tokens import encoder, python_texts, with_end
+from skeinwork.llm.tokens import encoder, with_end
 
 CAPACITY = 2048
 #: Parts of each length class among which its ranks are counted.
@@ -36,9 +36,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            offsets = text_views(batch.column(1))[1]
-            for i, j in blocks(offsets):
-                ids, bounds = with_end(*encode(python_texts(batch.column(1), i, j)), end)
+            raw, offsets = text_views(batch.column(1))
+            for i, j in blocks(offsets, 2 << 20):
+                ids, bounds = with_end(*encode(raw, offsets[i : j + 1]), end)
                 sizes = np.diff(bounds)
                 count = -(-sizes // capacity)
                 row = np.repeat(np.arange(j - i), count)
