@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import mixing, packing, pii, quality_rules, store
+from skeinwork.llm import mixing, near_dedup, packing, pii, quality_rules, store
 from skeinwork.llm.common import scratch_path
 
 #: Public vocabulary files, by operator; the operators take any path.
@@ -33,6 +33,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     store.write(table(spark, sf_dir, "documents"), path, vocabulary(STORE_VOCABULARY))
@@ -43,4 +47,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_best_two_fit, op6_mix_sources, op9_token_store, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_best_two_fit, op6_mix_sources, op8_minhash_near_dedup, op9_token_store, op10_personal_data)}
