@@ -73,8 +73,8 @@ class Lexed:
         return self.span_hashes(self.start, self.end, lower)
 
 
-def lex(raw: np.ndarray, offsets: np.ndarray) -> Lexed:
-    """``raw``: UTF-8 bytes of all rows; ``offsets``: n + 1 places in it."""
+def lex(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> Lexed:
+    """``raw``: UTF-8 bytes of all rows; ``offsets``: n + 1 places in it; ``separators``: by byte, the space among them."""
     n = len(offsets) - 1
     offsets = np.asarray(offsets, np.int64)
     raw = raw[offsets[0] : offsets[-1]]
@@ -84,7 +84,7 @@ def lex(raw: np.ndarray, offsets: np.ndarray) -> Lexed:
     text_start = offsets + np.arange(n + 1)
     keep[text_start[1:] - 1] = False
     data[keep] = raw
-    spaces = SPACE[data]
+    spaces = separators[data]
     change = np.flatnonzero(np.diff(np.concatenate(([True], spaces)).astype(np.int8)))
     start, end = change[0::2], change[1::2]
     first = np.searchsorted(start, text_start)
