@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import licenses, mixing, nb_svm, near_dedup, packing, pii, quality_rules, store, topk
+from skeinwork.llm import licenses, lm_scoring, mixing, nb_svm, near_dedup, packing, pii, quality_rules, store, topk
 from skeinwork.llm.common import scratch_path
 
 #: Public vocabulary files, by operator; the operators take any path.
@@ -38,6 +38,10 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
 
+def op5_gru_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,7 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_quality_rules, op3_license_scan, op4_best_two_fit, op6_mix_sources, op7_exact_top_k, op8_minhash_near_dedup, op9_token_store, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_quality_rules, op3_license_scan, op4_best_two_fit, op5_gru_lm_score, op6_mix_sources, op7_exact_top_k, op8_minhash_near_dedup, op9_token_store, op10_personal_data)}
 
 ORACLES = {
     "op6_mix_sources": """
