@@ -1,10 +1,10 @@
 """Exact top-k search by inner product, on an impact-ordered index processed score-at-a-time.
 
 Vectors become integers, floor(1024 x). Candidates are dealt into blocks; each has an index: for every dimension, postings in segments of
-equal quantised impact. A query takes the segments of all dimensions in descending order of what they can add at most, adds their
-exact contributions to accumulators, and after each round bounds every candidate from both sides by what its open dimensions can still
-add. It stops only when the bounds prove that all but a few candidates are out; those are rescored exactly. Blocks' winners then meet in
-a window per query. Queries meet candidates in blocks of bounded size on both sides; neither side is broadcast or collected.
+equal quantised value. A query takes the segments of all dimensions in descending order of impact (query weight times the largest value,
+without signs), adds their exact contributions to accumulators, and now and then bounds every candidate from both sides by what its
+open dimensions can still add or take. Rows that are proved out go; when a small share is left, those are rescored exactly. Blocks'
+winners then meet in a window per query. Queries meet candidates in blocks of bounded size on both sides; neither side is broadcast or collected.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without vec_id; vectors meet only vectors of
 their length; ties go to the smaller vec_id; rows that repeat a candidate count each, rows that repeat a query's vec_id are one query (the
@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import stored
-from skeinwork.llm.tokens import ranges
 
 SCALE = 1024
-#: Candidates and queries of a block, quantised impacts of a dimension, rounds, and possible members small enough to rescore.
-BLOCK, QUERY_BLOCK, LEVELS, ROUNDS, RESCORE = 16384, 4096, 16, 12, 64
+#: Candidates and queries of a block, and quantised impacts of a dimension.
+BLOCK, QUERY_BLOCK, LEVELS = 16384, 4096, 32
+#: Shares of a block's postings after which the bounds are taken, and the share of rows that are then rescored at once.
+STOPS, RESCORE = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0), 0.35
+#: Far more than the rounding of the accumulators, far less than scores differ by: 1.
+SLACK = 0.5
 
 
 def integers(vector: Column) -> Column:
@@ -37,68 +40,63 @@ def usable(vector: Column) -> Column:
 
 
 class Impacts:
-    """Postings of a block: per dimension, rows in segments of equal quantised value, ascending."""
+    """Postings of a block: per dimension, rows and values in segments of equal quantised value, ascending."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         n, d = vectors.shape
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
         level = ((vectors - low) // step).T  # d x n
-        rows = np.argsort(level, axis=1, kind="stable")
-        level = np.take_along_axis(level, rows, axis=1)
-        value = np.take_along_axis(vectors.T, rows, axis=1)
+        self.rows = np.argsort(level, axis=1, kind="stable")
+        level = np.take_along_axis(level, self.rows, axis=1)
+        values = np.take_along_axis(vectors.T, self.rows, axis=1)
         new = np.ones((d, n), bool)
         new[:, 1:] = level[:, 1:] != level[:, :-1]
-        self.vectors, self.rows, self.values = vectors, rows.ravel(), value.ravel()
-        self.first = np.flatnonzero(new.ravel())
-        self.size = np.diff(np.append(self.first, n * d))
-        self.dimension = self.first // n
-        self.least, self.most = np.minimum.reduceat(self.values, self.first), np.maximum.reduceat(self.values, self.first)
+        first = np.flatnonzero(new.ravel())
+        self.size = np.diff(np.append(first, n * d))
+        self.dimension, self.first = first // n, first % n
+        self.impact = np.maximum.reduceat(np.abs(values).ravel(), first)
+        self.vectors, self.values, self.floats = vectors, values.astype(np.float64), vectors.astype(np.float64)
+        self.norms = (self.floats**2).sum(axis=1)
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the query's k best, with exact scores; ``skip``: rows that take no part."""
+        """Rows that may be among the query's k best, with exact scores; ``skip``: rows that take no part.
+
+        What a row's open dimensions can still add or take lies within half of scale * (open part of the query's square norm) + (open part
+        of its own) / scale, for any scale; a power of two near the norms' ratio is used. Its bounds are kept as two accumulators.
+        """
         n, d = self.vectors.shape
-        weight = query[self.dimension]
-        top = np.where(weight > 0, weight * self.most, weight * self.least)
-        bottom = np.where(weight > 0, weight * self.least, weight * self.most)
-        order = np.argsort(-top, kind="stable")
-        floor = np.full(d, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dimension, bottom)
-        total, seen = np.zeros(n, np.int64), np.zeros((n, d), bool)
-        live = np.ones(n, bool)
-        live[skip] = False
-        small = np.abs(query).sum() * max(1, int(np.abs(self.values).max())) < 2**52
-        done = np.cumsum(self.size[order])
-        cuts = np.searchsorted(done, np.linspace(0, done[-1], ROUNDS + 1)[1:], "left") + 1
+        q = query.astype(np.float64)
+        square, most_norm = float(q @ q), float(self.norms.max())
+        if max(square, most_norm) * 4 >= 2**52:  # beyond exact doubles: every row is rescored
+            rows = np.delete(np.arange(n), skip)
+            return rows, self.vectors[rows] @ query
+        scale = 2.0 ** round(np.log2(max(np.median(self.norms), 1) / max(square, 1)) / 2)
+        radius = (scale * square + self.norms / scale) / 2
+        upper, lower = radius.copy(), -radius
+        impact = np.abs(query)[self.dimension] * self.impact
+        order = np.argsort(-impact, kind="stable")
+        candidates = np.delete(np.arange(n), skip)
+        ends = np.searchsorted(np.cumsum(self.size[order]), np.array(STOPS) * (n * d), "left") + 1
         last = 0
-        for cut in cuts:
+        for cut in ends:
             part = order[last:cut]
             last = int(cut)
-            if not len(part):
-                continue
-            at, _ = ranges(self.first[part], self.size[part])
-            rows, dims = self.rows[at], at // n
-            gain = query[dims] * self.values[at]
-            if small:
-                total += np.bincount(rows, weights=gain, minlength=n).astype(np.int64)
-            else:
-                np.add.at(total, rows, gain)
-            seen[rows, dims] = True
-            open_top = np.full(d, np.iinfo(np.int64).min)
-            np.maximum.at(open_top, self.dimension[order[last:]], top[order[last:]])
-            finished = open_top == np.iinfo(np.int64).min
-            open_top[finished] = 0
-            unseen = ~seen
-            least = total + unseen @ np.where(finished, 0, floor)
-            candidates = np.flatnonzero(live)
+            part = part[np.argsort(part)]  # neighbouring segments of a dimension are taken as one run
+            at = self.dimension[part] * n + self.first[part]
+            heads = np.flatnonzero(np.concatenate(([True], at[1:] != (at + self.size[part])[:-1])) | np.concatenate(([True], np.diff(self.dimension[part]) > 0))) if len(part) else part
+            for a, b in zip(heads, np.append(heads[1:], len(part)), strict=True):
+                j, run = self.dimension[part[a]], slice(self.first[part[a]], self.first[part[b - 1]] + self.size[part[b - 1]])
+                rows, x = self.rows[j, run], self.values[j, run]
+                gain, share = x * q[j], x * x * (0.5 / scale) + 0.5 * scale * q[j] * q[j]
+                upper[rows] += gain - share
+                lower[rows] += gain + share
             if len(candidates) > k:
-                bar = np.partition(least[candidates], len(candidates) - k)[len(candidates) - k]
-                live &= total + unseen @ open_top >= bar
-                candidates = np.flatnonzero(live)
-            if len(candidates) <= max(RESCORE, k):
+                bar = np.partition(lower[candidates], len(candidates) - k)[len(candidates) - k]
+                candidates = candidates[upper[candidates] >= bar - SLACK]
+            if len(candidates) <= max(RESCORE * n, k):
                 break
-        candidates = np.flatnonzero(live)
-        return candidates, self.vectors[candidates] @ query
+        return candidates, (self.floats[candidates] @ q).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
