@@ -7,10 +7,11 @@ one pair in about two million exceeds 25; none of lower distance is lost). What
 
 1. In each bucket (equal key) every member is compared with the smallest id: one pair per member, not all pairs. Confirmed pairs give
    first components.
-2. Members of different components that share a bucket are still open. They meet in blocks of bounded size, where signatures tell
-   which member of the smaller component may have a partner in the larger one: one row (member, component), not one per pair.
-3. Such a member is held against the component's members, in blocks of sets, until one link is found: more would not change the
-   components. So groups of thousands of near copies give thousands of rows, and no link between components is missed.
+2. Members of different components that share a bucket are still open. They meet in blocks of bounded size, where signatures tell which
+   members have a candidate in another component; the blocks keep those members, one row each.
+3. The full sets come to those blocks, and candidates are confirmed there. One link between a member and a component is enough: more
+   would not change the components. So groups of thousands of near copies give thousands of rows, not a row per pair, and no link
+   between components is missed.
 
 Edge cases: null texts and texts without words have no shingles, are linked with nothing and are kept; texts of fewer words than a shingle have
 the whole sequence as one; rows that repeat a doc_id count as one document; a null doc_id is linked with nothing and kept; an
@@ -31,8 +32,10 @@ from skeinwork.llm.components import components
 from skeinwork.llm.lexer import lex
 from skeinwork.llm.shingles import RADIUS, SYMBOLS, chunk_keys, first_shared_key, set_names, shingle_sets, signatures
 
-#: Members of a bucket, and bytes of sets, that are compared together; a larger bucket or component is cut into such blocks.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: A larger bucket is cut into parts of about so many members, and every two parts meet as a block.
+BLOCK_ROWS = 512
+#: Pairs of signatures that are compared in one array operation.
+PAIRS = 1 << 15
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, signature binary"
 
 
@@ -127,8 +130,8 @@ def bucketed(reps: DataFrame) -> DataFrame:
     return keys.join(shared, "key")
 
 
-def open_members(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Members that may have a partner in a larger component of a bucket of theirs: id, component (of the partner)."""
+def open_blocks(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Blocks of buckets of several components: key, lo, hi, mine (the member's part of its bucket), id; members without a candidate are left out."""
     sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("strength")), "component")
     placed = buckets.select("key", "id", "members").join(sized, "id")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -137,15 +140,19 @@ def open_members(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "component", "strength", "n", "signature")
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    names = ["key", "lo", "hi", "mine", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_group(batches, ("key", "lo", "hi")):
-            found = partners(block, percent)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id", "component"])
+            a, b = candidates(block, percent)
+            if len(a):
+                yield from block.select(names).take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, "id long, component long").distinct()
+    return dealt(rows).mapInArrow(run, "key long, lo int, hi int, mine int, id long")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -168,67 +175,68 @@ def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
         yield rest
 
 
-def partners(block: pa.Table, percent: int) -> np.ndarray:
-    """Rows (id, component): the member's signature is near that of a member of that larger component, first met under this key."""
-    n = block.num_rows
-    component, strength, size, ids, mine = (block.column(c).to_numpy() for c in ("component", "strength", "n", "id", "mine"))
+def candidates(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (member of the smaller component, member of the larger) with near signatures that meet first under this key."""
+    component = block.column("component").to_numpy()
+    none = np.zeros(0, np.int64)
+    if (component == component[0]).all():
+        return none, none
+    strength, size, mine = (block.column(c).to_numpy() for c in ("strength", "n", "mine"))
     symbols = symbols_of(block.column("signature").combine_chunks())
-    own, lo, hi = chunk_keys(symbols).view(np.int64), block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
-    column = (own[0] == block.column("key")[0].as_py()).argmax()
-    out = []
-    for k in range(n):  # pairs with later rows; each row is a vector operation
-        later = np.arange(k + 1, n)
-        if lo != hi:  # pairs within one block are met where lo equals hi
-            later = later[mine[later] != mine[k]]
-        later = later[(component[later] != component[k]) & alike(size[later], size[k], percent)]
-        if not len(later):
-            continue
-        later = later[(symbols[later] != symbols[k]).sum(axis=1) <= RADIUS]
-        if not len(later):
-            continue
-        later = later[first_shared_key(symbols[later], np.broadcast_to(symbols[k], (len(later), SYMBOLS))) == column]
-        smaller = (strength[k] < strength[later]) | ((strength[k] == strength[later]) & (component[k] > component[later]))
-        out += [np.column_stack([np.full(smaller.sum(), ids[k]), component[later[smaller]]]), np.column_stack([ids[later[~smaller]], np.full((~smaller).sum(), component[k])])]
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
-
-def linked_members(wanted: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For ``wanted`` (id, component): a link (a, b) from the member to one of the component's, if there is one."""
-    facts = reps.select("id", "n", "signature").join(sets, "id")
-    named = labels.join(wanted.select("component").distinct(), "component", "left_semi")
-    struct = F.struct("id", "n", "signature", "shingles")
-
-    def arrays(rows: DataFrame, name: str) -> DataFrame:
-        weight = rows.groupBy("component").agg(F.ceil(F.sum(F.length("shingles") + 128) / BLOCK_BYTES).cast("int").alias("parts"))
-        return rows.join(weight, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("component", "part").agg(F.collect_list(struct).alias(name)).drop("part")
-
-    members, seekers = arrays(named.join(facts, "id"), "members"), arrays(wanted.join(facts, "id"), "seekers")
+    column = block.column("key")[0].as_py() & 63
+    apart = block.column("lo")[0].as_py() != block.column("hi")[0].as_py()
+    n, found = len(size), []
+    rows = max(1, PAIRS // n)
+    for k in range(0, n, rows):  # some rows against all later ones at a time
+        a, b = np.nonzero(np.arange(k, min(k + rows, n))[:, None] < np.arange(n)[None, :])
+        a += k
+        ok = (component[a] != component[b]) & alike(size[a], size[b], percent)
+        if apart:  # pairs within one part are met where lo equals hi
+            ok &= mine[a] != mine[b]
+        a, b = a[ok], b[ok]
+        near = (symbols[a] != symbols[b]).sum(axis=1) <= RADIUS
+        a, b = a[near], b[near]
+        first = first_shared_key(symbols[a], symbols[b]) == column
+        a, b = a[first], b[first]
+        smaller = (strength[a] < strength[b]) | ((strength[a] == strength[b]) & (component[a] > component[b]))
+        found.append((np.where(smaller, a, b), np.where(smaller, b, a)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def late_links(open_rows: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) in open blocks: at most one for a member and a component that it is held against."""
+    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("strength")), "component")
+    rows = open_rows.join(reps.select("id", "n", "signature"), "id").join(sized, "id").join(sets, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for there, here in zip(batch.column("members"), batch.column("seekers"), strict=True):
-                links = first_links(here.as_py(), there.as_py(), percent)
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for block in by_group(batches, ("key", "lo", "hi")):
+            links = confirmed_links(block, percent)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return members.join(seekers, "component").select("members", "seekers").mapInArrow(run, "a long, b long")
+    return dealt(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def first_links(seekers: list[dict], members: list[dict], percent: int) -> list[tuple[int, int]]:
-    signs = np.frombuffer(b"".join(m["signature"] for m in members), np.uint16).reshape(-1, SYMBOLS)
-    sizes = np.array([m["n"] for m in members])
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+def confirmed_links(block: pa.Table, percent: int) -> list[tuple[int, int]]:
+    a, b = candidates(block, percent)
+    if not len(a):
+        return []
+    ids, component, sizes = (block.column(c).to_numpy() for c in ("id", "component", "n"))
+    shingles = block.column("shingles")
+    sets = {int(k): np.frombuffer(shingles[int(k)].as_py(), np.uint64) for k in np.union1d(a, b)}
     out = []
-    for s in seekers:
-        distance = (signs != np.frombuffer(s["signature"], np.uint16)).sum(axis=1)
-        maybe = np.flatnonzero((distance <= RADIUS) & alike(sizes, s["n"], percent))
-        mine = np.frombuffer(s["shingles"], np.uint64)
-        for k in maybe[np.argsort(distance[maybe], kind="stable")]:
-            both = len(np.intersect1d(mine, sets[k], assume_unique=True))
-            if 100 * both >= percent * (len(mine) + len(sets[k]) - both):
-                out.append((s["id"], members[k]["id"]))
-                break
+    order = np.lexsort((b, component[b], a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    for first, last in zip(starts, np.append(starts[1:], len(a)), strict=True):
+        mine, others = sets[int(a[first])], b[first:last]
+        flat = np.concatenate([sets[int(k)] for k in others])
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        linked = others[100 * both >= percent * (len(mine) + sizes[others] - both)]
+        _, one = np.unique(component[linked], return_index=True)  # one link to a component is enough
+        out += [(int(ids[a[first]]), int(ids[k])) for k in linked[one]]
     return out
 
 
@@ -248,8 +256,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     labels = stored(
         buckets.select("id").distinct().join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels"
     )
-    wanted = stored(open_members(buckets, reps, labels, percent), "open")
-    late = linked_members(wanted, reps, labels, sets, percent)
+    late = late_links(stored(open_blocks(buckets, reps, labels, percent), "open"), reps, labels, sets, percent)
     joined = components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
 
     found = signs.join(classes.drop("signature"), ["s1", "s2", "n_shingles"], "left").join(joined, "id", "left")

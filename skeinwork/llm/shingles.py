@@ -66,7 +66,7 @@ def set_names(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """Per row, a 64-bit key for every chunk and every choice of the symbol that may differ."""
+    """Per row, a 64-bit key for every chunk and every choice of the symbol that may differ; its low six bits are its column."""
     n = len(signature)
     keys = np.zeros((n, SYMBOLS), U)
     symbols = signature.astype(U)
@@ -77,7 +77,8 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
             for k in range(CHUNK):
                 if k != gone:
                     h = (h << U(BITS)) | part[:, k]
-            keys[:, c * CHUNK + gone] = mix(h + U((c * CHUNK + gone + 1) * 0xA0761D6478BD642F % 2**64))
+            column = c * CHUNK + gone
+            keys[:, column] = mix(h + U((column + 1) * 0xA0761D6478BD642F % 2**64)) & ~U(63) | U(column)
     return keys
 
 
