@@ -5,8 +5,7 @@ tasks. Prefix sums of sizes come in two levels: over a source's bucket totals, t
 its exact budget in words; a budget above the source's size repeats whole epochs first.
 
 Edge cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own, sorted last; rows equal in
-key, id and text are interchangeable; an empty table gives an empty result. Extra columns pass through by name only where
-asked for. Keys depend on the seed, id and text alone, so reruns agree.
+key, id and text are interchangeable; an empty table gives an empty result; other columns, whatever their names, are left alone. Keys depend on the seed, id and text alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ def keyed(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """``sources``: one row a source (__source, source_size). Adds target and budget (words to take).
+    """``sources``: one row a source (__source, __total). Adds __target and __budget (words to take).
 
     Water filling: sources whose share exceeds ``most`` times their size are held there, in the order of size / weight, and the
     rest share what is left by weight. Only sources, never documents, meet in the unpartitioned windows.
@@ -43,10 +42,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     dec = lambda c: F.col(c).cast("decimal(20,0)")
     at = sources.withColumn("__n", F.row_number().over(by_name)).withColumn(
         "__w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("__n") - 1) % len(weights)) + 1).cast("long")
-    ).withColumn("__cap", F.col("source_size") * most)
+    ).withColumn("__cap", F.col("__total") * most)
     before = Window.orderBy(F.col("__cap") / F.col("__w"), "__n").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumns({
-        "__all": F.sum("source_size").over(whole), "__all_w": F.sum("__w").over(whole),
+        "__all": F.sum("__total").over(whole), "__all_w": F.sum("__w").over(whole),
         "__caps": F.coalesce(F.sum("__cap").over(before), F.lit(0)), "__ws": F.coalesce(F.sum("__w").over(before), F.lit(0)),
     })
     left, weight = F.col("__all") - F.col("__caps"), F.col("__all_w") - F.col("__ws")
@@ -54,34 +53,38 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     held = lambda c: F.sum(F.when(F.col("__held"), F.col(c)).otherwise(F.lit(0))).over(whole)
     at = at.withColumns({"__rest": F.col("__all") - held("__cap"), "__rest_w": F.col("__all_w") - held("__w")})
     share = (F.col("__rest") * F.col("__w")).cast("double") / F.greatest(F.col("__rest_w"), F.lit(1)).cast("double")
-    at = at.withColumn("target", F.when(F.col("__held"), F.col("__cap").cast("double")).otherwise(share))
-    budget = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("__cap"))
-    return at.select("__source", "source_size", "target", budget.alias("__budget"))
+    at = at.withColumn("__target", F.when(F.col("__held"), F.col("__cap").cast("double")).otherwise(share))
+    budget = F.least(F.floor(F.col("__target") + 0.5).cast("long"), F.col("__cap"))
+    return at.select("__source", "__total", "__target", budget.alias("__budget"))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: ``keep`` columns, size, source_size, target, taken, epochs (whole copies), part (words of the last)."""
-    keep = keep or ["doc_id"]
+def shares(docs: DataFrame, keep: list[str], seed: int, buckets: int) -> DataFrame:
+    """Per document: ``keep`` columns, __size, __total and __target (its source's), __epochs (whole copies), __part (words of a started one)."""
     rows = keyed(docs, seed, buckets)
     totals = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
-    sources = targets(totals.groupBy("__source").agg(F.sum("__sum").alias("source_size")))
+    sources = targets(totals.groupBy("__source").agg(F.sum("__sum").alias("__total")))
     earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).alias("t").join(
         sources.alias("s"), F.col("t.__source").eqNullSafe(F.col("s.__source"))
-    ).select("t.__source", "t.__bucket", "__base", "source_size", "target", "__budget")
+    ).select("t.__source", "t.__bucket", "__base", "__total", "__target", "__budget")
 
-    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__tie", F.xxhash64("text")).select(*dict.fromkeys(["doc_id", *keep]), *INNER, "__tie")
+    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "__doc", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__doc": F.col("doc_id"), "__tie": F.xxhash64("text")}).select(*keep, "__doc", *INNER, "__tie")
     rows = rows.withColumn("__prior", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     both = rows.alias("r").join(
         starts.alias("b"), F.col("r.__source").eqNullSafe(F.col("b.__source")) & (F.col("r.__bucket") == F.col("b.__bucket"))
     )
-    epochs = F.when(F.col("source_size") > 0, F.expr("__budget div source_size")).otherwise(F.lit(0)).cast("long")
-    over = F.col("__budget") - epochs * F.col("source_size") - F.col("__base") - F.col("__prior")
+    epochs = F.when(F.col("__total") > 0, F.expr("__budget div __total")).otherwise(F.lit(0)).cast("long")
+    over = F.col("__budget") - epochs * F.col("__total") - F.col("__base") - F.col("__prior")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), over))
-    return both.select(
-        *[F.col(f"r.{c}") for c in keep], F.col("__size").alias("size"), "source_size", "target",
-        (epochs * F.col("__size") + part).alias("taken"), epochs.alias("epochs"), part.alias("part"),
+    return both.select(*[F.col(f"r.{c}") for c in keep], "__size", "__total", "__target", epochs.alias("__epochs"), part.alias("__part"))
+
+
+def mix(docs: DataFrame, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    return shares(docs, ["doc_id"], seed, buckets).select(
+        "doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__epochs") * F.col("__size") + F.col("__part")).alias("taken"),
     )
 
 
@@ -94,9 +97,8 @@ def head_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each whole epoch, and one, cut at the budget, for a started epoch."""
     names = docs.columns
-    out = mix(docs, names, seed, buckets)
-    part = F.col("part")
-    cut = F.when(part == F.col("size"), F.col("text")).otherwise(head_words(F.col("text"), part))
-    copies = F.concat(F.array_repeat(F.col("text"), F.col("epochs").cast("int")), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = out.where("taken > 0").withColumn("text", F.explode(copies))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out.select(*names)
+    part = F.col("__part")
+    cut = F.when(part == F.col("__size"), F.col("text")).otherwise(head_words(F.col("text"), part))
+    copies = F.concat(F.array_repeat(F.col("text"), F.col("__epochs").cast("int")), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = shares(docs, names, seed, buckets).where("__size > 0 and (__epochs > 0 or __part > 0)").withColumn("text", F.explode(copies))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out.select(*names)
