@@ -87,8 +87,8 @@ def log_count_ratios(feats: np.ndarray, rows: np.ndarray, y: np.ndarray, size: i
     return np.log((positive / positive.sum()) / (negative / negative.sum()))
 
 
-def dual_descent(feats: np.ndarray, values: np.ndarray, bounds: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 15, seed: int = 7) -> np.ndarray:
-    """Weights (the last one is the bias) that minimise |w|^2 / 2 + sum of cost * hinge loss, one dual variable at a time."""
+def dual_descent(feats: np.ndarray, values: np.ndarray, bounds: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 15, least: float = 1e-3, seed: int = 7) -> np.ndarray:
+    """Weights (the last one is the bias) that minimise |w|^2 / 2 + sum of cost * hinge loss, one dual variable at a time, until none moves by ``least``."""
     w, alpha = np.zeros(size + 1), np.zeros(len(y))
     square = np.array([1 + (values[a:b] ** 2).sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     random = np.random.default_rng(seed)
@@ -104,7 +104,7 @@ def dual_descent(feats: np.ndarray, values: np.ndarray, bounds: np.ndarray, y: n
                 w[size] += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < least:
             break
     return w
 

@@ -82,9 +82,12 @@ class Impacts:
         for cut in ends:
             part = order[last:cut]
             last = int(cut)
-            part = part[np.argsort(part)]  # neighbouring segments of a dimension are taken as one run
+            if not len(part):
+                continue
+            part = np.sort(part)  # neighbouring segments of a dimension are taken as one run
             at = self.dimension[part] * n + self.first[part]
-            heads = np.flatnonzero(np.concatenate(([True], at[1:] != (at + self.size[part])[:-1])) | np.concatenate(([True], np.diff(self.dimension[part]) > 0))) if len(part) else part
+            gap = (at[1:] != (at + self.size[part])[:-1]) | (np.diff(self.dimension[part]) > 0)
+            heads = np.flatnonzero(np.concatenate(([True], gap)))
             for a, b in zip(heads, np.append(heads[1:], len(part)), strict=True):
                 j, run = self.dimension[part[a]], slice(self.first[part[a]], self.first[part[b - 1]] + self.size[part[b - 1]])
                 rows, x = self.rows[j, run], self.values[j, run]
