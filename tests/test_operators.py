@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from skeinwork.model import Aggregate, Chain, Combine, Source, Transform
+from skeinwork.plans import sqlgen
 from skeinwork.plans.compiler import compile_node
 from skeinwork.sources.tables import file
 
@@ -42,6 +43,18 @@ def test_rank_without_partition_and_ntile(spark):
     assert run(spark, t, a, Transform("R", "A", measures=("ntile(m0, 2, k)",))) == [(1, 2), (2, 2), (3, 1), (4, 1)]
 
 
+@pytest.mark.parametrize("call", ["rank(m0)", "rank_desc(m0)", "row_number(m0, k)", "row_number_desc(m0, k)", "ntile(m0, 7, k)", "ntile(m0, 50, k)"])
+def test_global_ranks_against_one_window(spark, duck, call):
+    values = [None, float("nan"), math.inf, -math.inf, 0.0, -0.0, 1e300, -1e300, 5.0, 5.0, *(float(k % 9) for k in range(25))]
+    for data in (list(enumerate(values)), [(1, 2.0)], [(1, None)], []):
+        t = given(spark, data, "k long, x double")
+        chain = Chain("c", [t, Aggregate("A", "t", ("k",), ("max(x)",)), Transform("R", "A", measures=(call,))])
+        duck.execute("CREATE OR REPLACE TEMP TABLE t (k BIGINT, x DOUBLE)")
+        for row in data:
+            duck.execute("INSERT INTO t VALUES (?, ?)", row)
+        assert rows(compile_node(chain, spark, "").collect()) == rows(duck.execute(sqlgen.cte(chain)).fetchall()), (call, len(data))
+
+
 def weibull(values, p):
     v, n = sorted(values), len(values)
     at = min(max(p * (n + 1), 1), n)
