@@ -32,12 +32,12 @@ class Bands:
     """``whole``: (bytes below which the limits hold, lowest ratio, highest ratio), ascending; the last has no upper length."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (128, 0.45, 2.00), (256, 0.42, 1.70), (512, 0.45, 0.95), (1024, 0.46, 0.80), (2048, 0.445, 0.72),
-        (4096, 0.42, 0.68), (8192, 0.395, 0.66), (16384, 0.375, 0.65), (float("inf"), 0.30, 0.65),
+        (128, 0.45, 2.00), (256, 0.42, 1.70), (512, 0.49, 0.95), (768, 0.485, 0.80), (1024, 0.47, 0.78), (1536, 0.455, 0.74),
+        (2048, 0.445, 0.72), (4096, 0.425, 0.68), (8192, 0.395, 0.66), (16384, 0.375, 0.65), (float("inf"), 0.30, 0.65),
     )
     chunk: int = 1024
-    #: Limits for the median chunk: of texts with one or two full chunks, and of longer ones.
-    few_chunks: tuple[float, float] = (0.47, 0.75)
+    #: Limits for the median chunk (the upper one of two): of texts with one full chunk, and of longer ones.
+    one_chunk: tuple[float, float] = (0.49, 0.75)
     many_chunks: tuple[float, float] = (0.505, 0.72)
     level: int = 3
 
@@ -109,7 +109,7 @@ def in_bands(n_bytes: int, whole: float | None, chunk: float | None, chunks: int
     _, low, high = next(b for b in bands.whole if n_bytes < b[0])
     if not low <= whole <= high:
         return False
-    low, high = bands.many_chunks if chunks > 2 else bands.few_chunks
+    low, high = bands.many_chunks if chunks > 1 else bands.one_chunk
     return chunk is None or low <= chunk <= high
 
 

@@ -28,7 +28,7 @@ def brute(text):
         ratio = len(press.compress(data)) / len(data)
         low, high = next((a, b) for n, a, b in bands.whole if len(data) < n)
         parts = sorted(len(press.compress(data[i : i + bands.chunk])) / bands.chunk for i in range(0, len(data) - bands.chunk + 1, bands.chunk))
-        few = bands.many_chunks if len(parts) > 2 else bands.few_chunks
+        few = bands.many_chunks if len(parts) > 1 else bands.one_chunk
         kept = low <= ratio <= high and (not parts or few[0] <= parts[len(parts) // 2] <= few[1])
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, kept
 
