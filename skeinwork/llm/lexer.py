@@ -18,6 +18,8 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
+#: Bytes whose prefix sums are taken together (a longer word is taken whole).
+SEGMENT = 1 << 20
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
@@ -62,12 +64,21 @@ class Lexed:
         return np.diff(self.first)
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-        values = (LOWER[self.data] if lower else self.data).astype(U)
-        values += U(1)
-        values *= powers("up", len(values))
-        sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values, out=sums[1:])
-        return mix((sums[end] - sums[start]) * powers("down", len(sums))[start] + (end - start).astype(U))
+        """Hashes of byte ranges, which ascend and don't overlap. Long texts are taken in segments: a hash doesn't depend on its place."""
+        out, i = np.empty(len(start), U), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
+            base = start[i]
+            part = self.data[base : end[j - 1]]
+            sums = np.zeros(len(part) + 1, U)
+            values = (LOWER[part] if lower else part).astype(U)
+            values += U(1)
+            values *= powers("up", len(values))
+            np.cumsum(values, out=sums[1:])
+            a, b = start[i:j] - base, end[i:j] - base
+            out[i:j] = mix((sums[b] - sums[a]) * powers("down", len(sums))[a] + (b - a).astype(U))
+            i = j
+        return out
 
     def hashes(self, lower: bool) -> np.ndarray:
         return self.span_hashes(self.start, self.end, lower)
