@@ -4,7 +4,7 @@ list | show                         the chains
 list CHAIN [--deep|--cte]           SQL of each step (nested or as one statement with --deep / --cte)
 list CHAIN.Q                        nested SQL that ends at Q
 exec | query CHAIN[.Q]              run; options: --pipe --size=0.01 --limit=10
-options of both: --nosort --dialect=duckdb|spark|clickhouse (--clickhouse), --size=, --root=FOLDER
+options of both: --nosort --dialect=duckdb|spark|clickhouse (--clickhouse), --size=, --root=FOLDER, --file=CHAINS.json
 help | ?   exit | quit
 """
 
@@ -19,7 +19,9 @@ from pyspark.sql import SparkSession
 
 from skeinwork.execute import pipe, shown, sorted_result, stepwise
 from skeinwork.plans import sqlgen
-from skeinwork.sources.catalog import CHAINS, chain, folder
+from skeinwork.model import Chain
+from skeinwork.sources import definitions
+from skeinwork.sources.catalog import CHAINS, find, folder
 
 
 def options(words: list[str]) -> tuple[list[str], dict[str, str]]:
@@ -30,12 +32,17 @@ def options(words: list[str]) -> tuple[list[str], dict[str, str]]:
     return plain, found
 
 
+def known(given: dict[str, str]) -> dict[str, Chain]:
+    """The built-in chains, and those of a file."""
+    return CHAINS | (definitions.load(given["file"]) if "file" in given else {})
+
+
 def listing(words: list[str]) -> str:
     plain, given = options(words)
     if not plain:
-        return "\n".join(f"{c.name}\t{sum(1 for n in c.nodes if n.inputs)} steps\t{c.title}" for c in CHAINS.values())
+        return "\n".join(f"{c.name}\t{sum(1 for n in c.nodes if n.inputs)} steps\t{c.title}" for c in known(given).values())
     name, _, node = plain[0].partition(".")
-    found, dialect, sort = chain(name), given.get("dialect", "duckdb"), "nosort" not in given
+    found, dialect, sort = find(known(given), name), given.get("dialect", "duckdb"), "nosort" not in given
     if node:
         return sqlgen.nested(found, node, dialect, sort)
     if "cte" in given:
@@ -48,7 +55,7 @@ def listing(words: list[str]) -> str:
 def execution(words: list[str], session: Callable[[], SparkSession]) -> str:
     plain, given = options(words)
     name, _, node = plain[0].partition(".")
-    found, node = chain(name), node or None
+    found, node = find(known(given), name), node or None
     sf_dir = folder(given.get("size", "0.01"), given.get("root", os.environ.get("BENCH_ROOT", "/root/testdata")))
     began, lines = time.time(), []
     if "pipe" in given:

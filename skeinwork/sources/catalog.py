@@ -113,14 +113,19 @@ S_C2 = Chain("S-C2", [
 CHAINS = {c.name: c for c in (TPC_C1, TPC_C2, OR_C1, OR_C2, S_C1, S_C2)}
 
 
-def chain(name: str) -> Chain:
-    """A built-in chain, without regard to case."""
-    found = {k.lower(): c for k, c in CHAINS.items()}.get(name.lower())
+def find(chains: dict[str, Chain], name: str) -> Chain:
+    """A chain by name, without regard to case."""
+    found = {k.lower(): c for k, c in chains.items()}.get(name.lower())
     if found is None:
-        raise KeyError(f"no chain {name!r}; there are {', '.join(CHAINS)}")
+        raise KeyError(f"no chain {name!r}; there are {', '.join(chains)}")
     return found
 
 
+def chain(name: str) -> Chain:
+    """A built-in chain."""
+    return find(CHAINS, name)
+
+
 def folder(size: str, root: str) -> str:
     """The folder of tables of a scale factor."""
     return f"{root}/sf{size}"

@@ -1,5 +1,7 @@
 """The six chains: every step against DuckDB, and the ways of running them against each other."""
 
+import json
+
 import pytest
 from conftest import SMALL, alike
 
@@ -8,6 +10,7 @@ from skeinwork.execute import pipe, shown, stepwise
 from skeinwork.plans import sqlgen
 from skeinwork.plans.compiler import compile_node
 from skeinwork.queries import every
+from skeinwork.sources import definitions
 from skeinwork.sources.catalog import CHAINS, TPC_C1, chain
 from skeinwork.sources.tables import registered
 
@@ -90,6 +93,27 @@ def test_command_line(spark):
         cli.run("list nothing", session)
 
 
+@pytest.mark.parametrize("name", CHAINS)
+def test_json_round_trip(name):
+    again = definitions.chain_of(json.loads(definitions.dumps(CHAINS[name])))
+    assert again.nodes == CHAINS[name].nodes and again.title == CHAINS[name].title
+
+
+def test_chains_of_a_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,x\n1,2.5\n1,0.5\n2,7\n")
+    (tmp_path / "own.json").write_text(json.dumps({"name": "own", "nodes": [
+        {"source": "t", "columns": ["k", "x"], "path": str(tmp_path / "t.csv"), "schema": "k long, x double"},
+        {"aggregate": "A", "input": "t", "dims": ["k"], "measures": ["sum(x)"]}, {"transform": "B", "input": "A", "where": "m0 > 4"},
+    ]}))
+    answer = cli.run(f"exec own.b --file={tmp_path}/own.json --pipe", lambda: spark)
+    assert answer.splitlines()[2] == "2\t7.0"
+    assert "own\t2 steps" in cli.run(f"list --file={tmp_path}/own.json", lambda: spark)
+    with pytest.raises(ValueError, match="unknown fields"):
+        definitions.node_of({"aggregate": "A", "input": "t", "colour": 1})
+    with pytest.raises(ValueError, match="a node is"):
+        definitions.node_of({"other": "A"})
+
+
 def test_entry_file(spark):
     import __spark_entry__ as e
 
