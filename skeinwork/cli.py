@@ -57,14 +57,15 @@ def execution(words: list[str], session: Callable[[], SparkSession]) -> str:
     name, _, node = plain[0].partition(".")
     found, node = find(known(given), name), node or None
     sf_dir = folder(given.get("size", "0.01"), given.get("root", os.environ.get("BENCH_ROOT", "/root/testdata")))
-    began, lines = time.time(), []
+    began, lines, limit = time.time(), [], int(given.get("limit", 10))
+    ordered = lambda df: df if "nosort" in given else sorted_result(df, found, node)
     if "pipe" in given:
-        df = pipe(found, session(), sf_dir, node)
+        lines.append(shown(ordered(pipe(found, session(), sf_dir, node)), limit))
     else:
-        df, steps = stepwise(found, session(), sf_dir, node)
-        lines = [f"{s.node}\t{s.rows} rows\t{1000 * s.seconds:.0f} ms" for s in steps]
-    df = df if "nosort" in given else sorted_result(df, found, node)
-    return "\n".join([*lines, shown(df, int(given.get("limit", 10))), f"{1000 * (time.time() - began):.0f} ms"])
+        with stepwise(found, session(), sf_dir, node) as (df, steps):
+            lines = [f"{s.node}\t{s.rows} rows\t{1000 * s.seconds:.0f} ms" for s in steps]
+            lines.append(shown(ordered(df), limit))
+    return "\n".join([*lines, f"{1000 * (time.time() - began):.0f} ms"])
 
 
 def run(line: str, session: Callable[[], SparkSession]) -> str | None:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.model import Chain, Source
-from skeinwork.plans.compiler import Compiler
+from skeinwork.plans.compiler import Compiler, read_often
 
 
 @dataclass(frozen=True)
@@ -24,23 +25,32 @@ def pipe(chain: Chain, spark: SparkSession, sf_dir: str, name: str | None = None
     return Compiler(chain, spark, sf_dir, fuse).frame(chain.target(name)).rows()
 
 
-def stepwise(chain: Chain, spark: SparkSession, sf_dir: str, name: str | None = None) -> tuple[DataFrame, list[Step]]:
-    """Every node that the target rests on, one action each; nodes that several others read are kept, on disk where memory is short."""
+@contextmanager
+def running(chain: Chain, spark: SparkSession, sf_dir: str, name: str | None = None) -> Iterator[DataFrame]:
+    """As ``pipe``, but rows that several nodes read are kept until the block ends: the base tables are scanned far fewer times."""
+    target = chain.target(name)
+    compiler = Compiler(chain, spark, sf_dir, shared=read_often(chain, target))
+    try:
+        yield compiler.frame(target).rows()
+    finally:
+        compiler.release()
+
+
+@contextmanager
+def stepwise(chain: Chain, spark: SparkSession, sf_dir: str, name: str | None = None) -> Iterator[tuple[DataFrame, list[Step]]]:
+    """Every node that the target rests on, one action each; rows that several nodes read are kept until the block ends."""
     target = chain.target(name)
     nodes = chain.needed(target)
-    compiler, steps, kept = Compiler(chain, spark, sf_dir, fuse=False), [], []
-    for node in nodes:
-        if isinstance(node, Source):
-            continue
-        began = time.time()
-        frame = compiler.frame(node)
-        readers = sum(i.lower() == node.name.lower() for n in nodes for i in n.inputs)
-        if readers > 1:
-            frame.df.persist(StorageLevel.MEMORY_AND_DISK)
-            kept.append(frame.df)
-        rows = frame.rows().count()
-        steps.append(Step(node.name, rows, time.time() - began))
-    return compiler.frame(target).rows(), steps
+    compiler, steps = Compiler(chain, spark, sf_dir, fuse=False, shared=read_often(chain, target)), []
+    try:
+        for node in nodes:
+            if not isinstance(node, Source):
+                began = time.time()
+                rows = compiler.frame(node).rows().count()
+                steps.append(Step(node.name, rows, time.time() - began))
+        yield compiler.frame(target).rows(), steps
+    finally:
+        compiler.release()
 
 
 def sorted_result(df: DataFrame, chain: Chain, name: str | None = None) -> DataFrame:

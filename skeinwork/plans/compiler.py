@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,12 @@ class Frame:
 
 
 class Compiler:
-    def __init__(self, chain: Chain, spark: SparkSession, sf_dir: str, fuse: bool = True) -> None:
-        self.chain, self.spark, self.sf_dir, self.fuse = chain, spark, sf_dir, fuse
+    """``shared``: names of nodes whose rows are kept when first computed, in memory or on disk, because several others read them:
+    the optimizer reuses exchanges only where the plans below are equal, and pruning makes them differ."""
+
+    def __init__(self, chain: Chain, spark: SparkSession, sf_dir: str, fuse: bool = True, shared: frozenset[str] = frozenset()) -> None:
+        self.chain, self.spark, self.sf_dir, self.fuse, self.shared = chain, spark, sf_dir, fuse, shared
+        self.kept: list[DataFrame] = []
         self.frames: dict[str, Frame] = {}
         self.fused: dict[tuple, DataFrame] = {}
 
@@ -56,9 +61,15 @@ class Compiler:
     def frame(self, node: Node) -> Frame:
         key = node.name.lower()
         if key not in self.frames:
-            self.frames[key] = self.make(node)
+            self.frames[key] = frame = self.make(node)
+            if key in self.shared and all(frame.df is not k for k in self.kept):
+                self.kept.append(frame.df.persist(StorageLevel.MEMORY_AND_DISK))
         return self.frames[key]
 
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
     def make(self, node: Node) -> Frame:
         dims = tuple(self.chain.dims(node))
         plain = lambda df: Frame(df, dims, tuple(F.col(m) for m in self.chain.measures(node)))
@@ -114,6 +125,12 @@ class Compiler:
         return replace(a, measures=tuple(combine(pick(a, x), op, pick(b, y)) for x, op, y in node.measures), present=True)
 
 
+def read_often(chain: Chain, target: Node) -> frozenset[str]:
+    """Aggregates and joins that several nodes of a target read."""
+    inputs = [i.lower() for n in chain.needed(target) for i in n.inputs]
+    return frozenset(i for i in inputs if inputs.count(i) > 1 and isinstance(chain[i], (Aggregate, Combine)))
+
+
 def compile_node(chain: Chain, spark: SparkSession, sf_dir: str, name: str | None = None, fuse: bool = True) -> DataFrame:
     """The lazy DataFrame of a node (the first end, if none is named)."""
     return Compiler(chain, spark, sf_dir, fuse).frame(chain.target(name)).rows()

@@ -6,7 +6,7 @@ import pytest
 from conftest import SMALL, alike
 
 from skeinwork import cli
-from skeinwork.execute import pipe, shown, stepwise
+from skeinwork.execute import pipe, running, shown, stepwise
 from skeinwork.plans import sqlgen
 from skeinwork.plans.compiler import compile_node
 from skeinwork.queries import every
@@ -31,8 +31,12 @@ def test_ways_of_running_agree(spark, duck, name):
     want = pipe(found, spark, SMALL).collect()
     assert want
     assert alike(pipe(found, spark, SMALL, fuse=False).collect(), want)
-    last, steps = stepwise(found, spark, SMALL)
-    assert alike(last.collect(), want)
+    with running(found, spark, SMALL) as df:
+        assert alike(df.collect(), want)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    with stepwise(found, spark, SMALL) as (last, steps):
+        assert alike(last.collect(), want)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
     assert [s.node for s in steps] == [n.name for n in found.nodes if n.inputs] and all(s.seconds >= 0 for s in steps)
     for write in (sqlgen.cte, sqlgen.nested):
         assert alike(duck.execute(write(found)).fetchall(), want)
