@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most bytes of text that one Arrow batch brings to a Python worker (a single longer row still travels whole).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Most bytes of text that the vectorised kernels look at together.
 BLOCK_BYTES = 1 << 20
 
@@ -49,12 +51,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that very long texts cannot pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def text_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches by bytes, so that very long texts cannot pile up in a worker or in the buffers beside the JVM's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system at its end: workers live on, and share their executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column, without making Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views
+from skeinwork.llm.common import blocks, text_batches, text_views, tidied
 from skeinwork.llm.lexer import Lexed, lex, windows
 from skeinwork.llm.license_texts import TEMPLATES
 
@@ -165,4 +165,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                     names=["doc_id", "license", "coverage", "matched_words", "span_start", "span_end"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views
+from skeinwork.llm.common import blocks, text_batches, text_views, tidied
 from skeinwork.llm.lexer import U, Lexed, lex, mix, windows
 
 #: Labelled rows to learn from at most, and bits of a feature's number.
@@ -160,7 +160,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, bits:
                 parts = [found[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(parts, pa.binary())], names=["label", "features"])
 
-    rows = texts.mapInArrow(run, "label int, features binary").toArrow().sort_by([("label", "ascending"), ("features", "ascending")])
+    rows = texts.mapInArrow(tidied(run), "label int, features binary").toArrow().sort_by([("label", "ascending"), ("features", "ascending")])
     parts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("features").to_pylist()]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), bounds, rows.column("label").to_numpy()
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, stored, text_batches, text_views
+from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
 from skeinwork.llm.components import components
 from skeinwork.llm.lexer import lex
 from skeinwork.llm.shingles import RADIUS, SYMBOLS, chunk_keys, first_shared_key, set_names, shingle_sets, signatures
@@ -59,7 +59,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "s1", "s2", "signature"],
                 )
 
-    return ids_and_texts(docs).mapInArrow(run, SIGNED)
+    return ids_and_texts(docs).mapInArrow(tidied(run), SIGNED)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -74,7 +74,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(parts, pa.binary())], names=["id", "shingles"])
 
     rows = ids_and_texts(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles binary")
+    return rows.mapInArrow(tidied(run), "id long, shingles binary")
 
 
 def symbols_of(column: pa.Array) -> np.ndarray:
@@ -97,7 +97,7 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 ok &= (symbols_of(batch.column("s_a")) != symbols_of(batch.column("s_b"))).sum(axis=1) <= RADIUS
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -113,7 +113,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long")
 
 
 def bucketed(reps: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def bucketed(reps: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column("id").to_numpy(), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    keys = reps.select("id", "signature").mapInArrow(run, "key long, id long")
+    keys = reps.select("id", "signature").mapInArrow(tidied(run), "key long, id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
     return keys.join(shared, "key")
 
@@ -148,7 +148,7 @@ def open_blocks(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent:
             if len(a):
                 yield from block.select(names).take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
 
-    return dealt(rows).mapInArrow(run, "key long, lo int, hi int, mine int, id long")
+    return dealt(rows).mapInArrow(tidied(run), "key long, lo int, hi int, mine int, id long")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def late_links(open_rows: DataFrame, reps: DataFrame, labels: DataFrame, sets: D
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt(rows).mapInArrow(run, "a long, b long").distinct()
+    return dealt(rows).mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def confirmed_links(block: pa.Table, percent: int) -> list[tuple[int, int]]:

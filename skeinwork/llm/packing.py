@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, stored, text_batches, text_views
+from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
 from skeinwork.llm.tokens import encoder, with_end
 
 CAPACITY = 2048
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PIECES)
 
 
 class Shelf:
@@ -151,7 +151,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, found)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidied(run), schema)
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import text_batches
+from skeinwork.llm.common import text_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -188,7 +188,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def redact(text: str) -> str:
@@ -215,5 +215,5 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out

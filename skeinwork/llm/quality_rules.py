@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views
+from skeinwork.llm.common import blocks, text_batches, text_views, tidied
 from skeinwork.llm.lexer import Lexed, lex, mix, per_row, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -139,7 +139,7 @@ def assess(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                     names=["doc_id", *counts, "ratio", "chunk_ratio", "base_failed", "kept"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def kept_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -160,4 +160,4 @@ def kept_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                     keep[k] = in_bands(len(text), *ratios(text, bands, press), bands)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views
+from skeinwork.llm.common import blocks, text_batches, text_views, tidied
 from skeinwork.llm.lexer import mix
 from skeinwork.llm.tokens import encoder, with_end
 
@@ -116,7 +116,7 @@ def encoded(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
                     names=["kind", "key", "payload", "doc_id", "n_tokens", "sizes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, WRITTEN)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), WRITTEN)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
@@ -142,7 +142,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
             yield batch.append_column("root", pa.array(roots, pa.binary()))
 
     shape = "part int, doc_id long, start long, n_tokens long, digests binary, sizes array<int>"
-    numbered.selectExpr("part", "doc_id", "__base + __prior as start", "n_tokens", "digests", "sizes").mapInArrow(rooted, f"{shape}, root binary").sortWithinPartitions(
+    numbered.selectExpr("part", "doc_id", "__base + __prior as start", "n_tokens", "digests", "sizes").mapInArrow(tidied(rooted), f"{shape}, root binary").sortWithinPartitions(
         "part", "doc_id", "digests"
     ).write.parquet(f"{path}/recipes")
 
@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
 
     spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "digests", "root").repartition("part").sortWithinPartitions("part", "doc_id", "digests").drop(
         "doc_id", "digests"
-    ).mapInArrow(summed, "part int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
+    ).mapInArrow(tidied(summed), "part int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -182,7 +182,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
     text_batches(spark)
     stored = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'chunk'")
-    return stored.select("key", "payload").mapInArrow(verified, "digest binary, payload binary, size int, crc long")
+    return stored.select("key", "payload").mapInArrow(tidied(verified), "digest binary, payload binary, size int, crc long")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -252,7 +252,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a recipe's chunks do not add up to its document")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids), pa.array(total.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return lists.mapInArrow(combined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return lists.mapInArrow(tidied(combined), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
@@ -265,7 +265,7 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([ids_of(p["payload"]) for p in parts]).astype(np.int32) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return lists.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids array<int>")
+    return lists.mapInArrow(tidied(joined), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
@@ -276,5 +276,5 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             roots = [merkle([d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]) for d in batch.column("digests").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("root"), pa.array(roots, pa.binary())], names=["part", "doc_id", "root", "anew"])
 
-    wrong = recipes(spark, path).select("part", "doc_id", "digests", "root").mapInArrow(rooted, "part int, doc_id long, root binary, anew binary").where("root <> anew")
+    wrong = recipes(spark, path).select("part", "doc_id", "digests", "root").mapInArrow(tidied(rooted), "part int, doc_id long, root binary, anew binary").where("root <> anew")
     return wrong.groupBy("part").agg(F.count("*").alias("documents"))

@@ -45,7 +45,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
         self.store, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
@@ -86,7 +86,7 @@ class Encoder:
         first[order], size[order] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first.astype(np.uint32)), np.insert(self.size, at, size.astype(np.uint16))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``raw``: UTF-8 bytes; ``offsets``: n + 1 places in it. Ids of all texts, one after the other (uint32), and bounds (n + 1)."""
