@@ -15,7 +15,7 @@ import numpy as np
 from skeinwork.llm.lexer import lex
 
 #: Units that a worker remembers before it starts anew, and the longest of them in bytes (longer ones are encoded each time).
-MOST_UNITS, LONGEST = 1_500_000, 64
+MOST_UNITS, LONGEST = 2_500_000, 64
 #: Stands between units that are encoded together: always a piece, and a token, of its own.
 BETWEEN = " ~"
 #: Units that are encoded together.
