@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import stored
+
 #: Key ranges a source is dealt into. A range of a source with 10**9 documents holds about 250,000 of them.
 BUCKETS = 4096
 WEIGHTS = (1, 2, 3)
@@ -28,7 +30,9 @@ def word_count(text: Column) -> Column:
 def keyed(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
     bucket = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets), 32).cast("int")
-    return docs.withColumns({"__source": docs["source"], "__bucket": bucket, "__key": key, "__size": word_count(docs["text"])})
+    # a name without null, which sorts as the source does: windows and joins by it then share one partitioning
+    source = F.when(docs["source"].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs["source"].cast("string")))
+    return docs.withColumns({"__source": source, "__bucket": bucket, "__key": key, "__size": word_count(docs["text"])})
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -37,7 +41,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Water filling: sources whose share exceeds ``most`` times their size are held there, in the order of size / weight, and the
     rest share what is left by weight. Only sources, never documents, meet in the unpartitioned windows.
     """
-    by_name = Window.orderBy(F.col("__source").asc_nulls_last())
+    by_name = Window.orderBy("__source")
     whole = Window.partitionBy()
     dec = lambda c: F.col(c).cast("decimal(20,0)")
     at = sources.withColumn("__n", F.row_number().over(by_name)).withColumn(
@@ -61,23 +65,20 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def shares(docs: DataFrame, keep: list[str], seed: int, buckets: int) -> DataFrame:
     """Per document: ``keep`` columns, __size, __total and __target (its source's), __epochs (whole copies), __part (words of a started one)."""
     rows = keyed(docs, seed, buckets)
-    totals = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
+    # read twice below, so stored: a few thousand rows a source, against another scan of all texts
+    totals = stored(rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum")), "source-totals")
     sources = targets(totals.groupBy("__source").agg(F.sum("__sum").alias("__total")))
     earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).alias("t").join(
-        sources.alias("s"), F.col("t.__source").eqNullSafe(F.col("s.__source"))
-    ).select("t.__source", "t.__bucket", "__base", "__total", "__target", "__budget")
+    starts = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum").join(sources, "__source")
 
     within = Window.partitionBy("__source", "__bucket").orderBy("__key", "__doc", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"__doc": F.col("doc_id"), "__tie": F.xxhash64("text")}).select(*keep, "__doc", *INNER, "__tie")
     rows = rows.withColumn("__prior", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    both = rows.alias("r").join(
-        starts.alias("b"), F.col("r.__source").eqNullSafe(F.col("b.__source")) & (F.col("r.__bucket") == F.col("b.__bucket"))
-    )
+    both = rows.join(starts, ["__source", "__bucket"])
     epochs = F.when(F.col("__total") > 0, F.expr("__budget div __total")).otherwise(F.lit(0)).cast("long")
     over = F.col("__budget") - epochs * F.col("__total") - F.col("__base") - F.col("__prior")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), over))
-    return both.select(*[F.col(f"r.{c}") for c in keep], "__size", "__total", "__target", epochs.alias("__epochs"), part.alias("__part"))
+    return both.select(*keep, "__size", "__total", "__target", epochs.alias("__epochs"), part.alias("__part"))
 
 
 def mix(docs: DataFrame, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
