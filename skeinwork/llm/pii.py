@@ -3,7 +3,7 @@
 Detectors for e-mail addresses, IP addresses, card and phone numbers run on the text as it is (base spans), then on a normalised form made by
 three transducers: look-alike characters to ASCII, spelled-out digits to digits, and written-out "at" / "dot" to signs. Each transducer
 keeps, for every character it writes, the source characters it stands for, so what is found maps back to spans of the source. Such a
-span is added if it doesn't overlap a base span of its kind.
+span is added unless a base span of its kind covers it wholly: a base span may be a mere fragment of what the normalised form shows.
 
 Edge cases: null and empty texts have no spans; texts are searched whole, with patterns that take linear time; spans of different kinds may
 overlap; repeated rows get equal spans; an empty table gives an empty result; extra columns are not read. Counts are of base spans;
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,12 +156,15 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalise(text)
     if tape is None:
         return base, []
-    added = []
+    # base spans of a kind are in order and apart: the last one that doesn't start later is the only one that can cover a span
+    known = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+    added = set()
     for a, kind, b in detect(tape.text):
-        span = (tape.start[a], kind, tape.end[b - 1])
-        if not any(k == kind and s < span[2] and span[0] < e for s, k, e in base):
-            added.append(span)
-    return base, sorted(set(added))
+        start, end = tape.start[a], tape.end[b - 1]
+        at = bisect_right(known[kind], (start, len(text)))
+        if not at or known[kind][at - 1][1] < end:
+            added.add((start, kind, end))
+    return base, sorted(added)
 
 
 def written(spans: list[Span]) -> str:

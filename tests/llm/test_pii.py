@@ -49,6 +49,26 @@ def test_disguises_map_back_to_the_source(text):
     assert text[:a] in pii.redact(text) and text[b:] in pii.redact(text)
 
 
+@pytest.mark.parametrize("text, base, added", [
+    ("jоhn@example.com", "email:2:16", "email:0:16"),  # Cyrillic o
+    ("john [dot] doe@example.com", "email:11:26", "email:0:26"),
+    ("john@mail.exаmple.com", "email:0:12", "email:0:21"),  # Cyrillic a
+    ("john@mail.example [dot] com", "email:0:17", "email:0:27"),
+    ("+1 555 123 456 seven eight nine", "phone:0:14", "phone:0:31"),
+])
+def test_a_fragment_does_not_hide_the_whole(text, base, added):
+    a, b = pii.find(f"é {text}, ok")
+    shifted = lambda s: ",".join(f"{k}:{int(x) + 2}:{int(y) + 2}" for k, x, y in [p.split(":") for p in s.split(",")])
+    assert (pii.written(a), pii.written(b)) == (shifted(base), shifted(added))
+    assert pii.redact(f"é {text}, ok") == f"é <{added.split(':')[0].upper()}>, ok"
+
+
+def test_covered_spans_are_not_added():
+    text = "a@b.cc +1 (988) 555-2485 1.2.3.4 é x [at] y [dot] zz a@b.cc"
+    base, added = pii.find(text)
+    assert len(base) == 4 and pii.written(added) == "email:35:52"
+
+
 @pytest.mark.parametrize("text", [
     "he is at the house and it is a dot", "one two and three", "un un un un un un un un un un un un un", "look at example.com", "Été à 12 h 30", "seven of nine", "array[at] = x", "dot dot dot",
 ])
