@@ -4,8 +4,9 @@ Template and text are sequences of lower-case words (letters and digits; other A
 window of neighbouring word trigrams, so any run of ``GRAM + WINDOW - 1`` words that a text shares with a template gives a common
 fingerprint; templates shorter than that put all their trigrams into an index of their own, which is held against all of a text's.
 Hits of a template at about the same diagonal (place in the text less place in the template) are a candidate. A banded alignment
-around the diagonal gives the template words matched and the span of the text; candidates below the coverage asked for are dropped, and of
-overlapping ones the one with the most matched words stays.
+around the diagonal gives the template words matched and the span of the text, for every copy in the candidate: short notices that follow one another
+have diagonals so near that they are one candidate. Spans below the coverage asked for are dropped, and of overlapping ones the one with the
+most matched words stays.
 
 Edge cases: null and empty texts match nothing; texts are scanned whole; a template that occurs several times is reported each time; rows that
 repeat are reported each; an empty table gives an empty result; extra columns are not read. Spans are in code points, end exclusive.
@@ -13,6 +14,8 @@ repeat are reported each; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,25 +89,48 @@ class Index:
         return template[entry], place[entry], np.repeat(at[found], reps)
 
 
-def align(template: list[int], text: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment with text index - template index within ``band`` of ``diagonal``: matched words, first and last + 1 word."""
+def alignments(template: list[int], text: list[int], diagonal: int, band: int, least: int) -> list[tuple[int, int, int, int]]:
+    """Local alignments with text index - template index within ``band`` of ``diagonal`` and at least ``least`` matched words: for every word of the
+    text that one ends at, the best one's score, matched words, first and last + 1 word."""
     none = (0, 0, 0, 0)  # score, matches, -start, end
-    best, above = none, {}
-    for i, word in enumerate(template):
-        row: dict[int, tuple[int, int, int, int]] = {}
-        for j in range(max(0, i + diagonal - band), min(len(text), i + diagonal + band + 1)):
-            s, m, a, _ = above.get(j - 1, none)
-            same = word == text[j]
+    out, before = [], {}
+    for j, word in enumerate(text):
+        column: dict[int, tuple[int, int, int, int]] = {}
+        best = none
+        for i in range(max(0, j - diagonal - band), min(len(template), j - diagonal + band + 1)):
+            s, m, a, _ = before.get(i - 1, none)
+            same = word == template[i]
             start = a if s > 0 else -j
             cell = (s + MATCH, m + 1, start, j + 1) if same else (s + MISMATCH, m, start, j + 1)
-            for s, m, a, e in (above.get(j, none), row.get(j - 1, none)):
+            for s, m, a, e in (column.get(i - 1, none), before.get(i, none)):
                 cell = max(cell, (s + GAP, m, a, e))
             if cell[0] > 0:
-                row[j] = cell
-                if (cell[0], cell[1]) > (best[0], best[1]) and same:
+                column[i] = cell
+                if same and cell[1] >= least and cell[:2] > best[:2]:
                     best = cell
-        above = row
-    return best[1], -best[2], best[3]
+        if best[0]:
+            out.append((best[0], best[1], -best[2], best[3]))
+        before = column
+    return out
+
+
+def copies(template: list[int], text: list[int], diagonal: int, band: int, least: int, hits: list[int]) -> list[tuple[int, int, int]]:
+    """Matched words, first and last + 1 word of alignments that don't overlap: the best ones first, then those in what these leave of the text, until
+    no hit (words of the text, in order) is left that another one could cover."""
+    out, todo = [], [(0, len(text))]
+    while todo:
+        begin, end = todo.pop()
+        covered, kept = bytearray(end - begin), []
+        for _, matched, a, b in sorted(alignments(template, text[begin:end], diagonal - begin, band, least), key=lambda x: (-x[0], -x[1], x[2])):
+            if not any(covered[a:b]):
+                covered[a:b] = b"\1" * (b - a)
+                kept.append((begin + a, begin + b, matched))
+        kept.sort()
+        out += [(matched, a, b) for a, b, matched in kept]
+        for x, y in zip([begin, *(b for _, b, _ in kept)], [*(a for a, _, _ in kept), end], strict=True) if kept else ():
+            if y - x >= least and bisect_left(hits, x) < bisect_left(hits, y):
+                todo.append((x, y))
+    return out
 
 
 def found_in(index: Index, lexed: Lexed, words: np.ndarray, coverage: float) -> list[tuple[int, int, float, int, int, int]]:
@@ -117,7 +143,7 @@ def found_in(index: Index, lexed: Lexed, words: np.ndarray, coverage: float) ->
         return []
     row, diagonal = lexed.doc[word], word - place
     order = np.lexsort((diagonal, template, row))
-    row, template, diagonal = row[order], template[order], diagonal[order]
+    row, template, diagonal, word = row[order], template[order], diagonal[order], word[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND)
     starts = np.flatnonzero(new)
@@ -127,19 +153,33 @@ def found_in(index: Index, lexed: Lexed, words: np.ndarray, coverage: float) ->
         known = index.words[t]
         begin = max(int(lexed.first[r]), low - BAND)
         end = min(int(lexed.first[r + 1]), high + len(known) + BAND)
-        matched, first, last = align(known, words[begin:end].tolist(), (low + high) // 2 - begin, BAND + (high - low) // 2)
-        if matched >= coverage * len(known):
+        hits, least = sorted(set((word[a:b] - begin).tolist())), max(1, math.ceil(coverage * len(known)))
+        for matched, first, last in copies(known, words[begin:end].tolist(), (low + high) // 2 - begin, BAND + (high - low + 1) // 2, least, hits):
             out.setdefault(r, []).append((matched, matched / len(known), -t, begin + first, begin + last))
     result = []
     for r, many in out.items():
-        taken: list[tuple[int, int]] = []
+        zero = int(lexed.first[r])
+        taken = bytearray(int(lexed.first[r + 1]) - zero)
         for matched, share, t, a, b in sorted(set(many), reverse=True):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            if not any(taken[a - zero : b - zero]):
+                taken[a - zero : b - zero] = b"\1" * (b - a)
                 result.append((r, -t, share, matched, int(lexed.start[a]), int(lexed.end[b - 1])))
     return sorted(result, key=lambda x: (x[0], x[4]))
 
 
+def code_points(lexed: Lexed, found: list[tuple[int, int, float, int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends in code points; matches are in order and don't overlap, so every byte is counted once."""
+    starts, ends = [], []
+    row, at, n = -1, 0, 0
+    for r, _, _, _, *span in found:
+        if r != row:
+            row, at, n = r, int(lexed.text_start[r]), 0
+        for x, out in zip(span, (starts, ends), strict=True):
+            n, at = n + int(np.count_nonzero((lexed.data[at:x] & 0xC0) != 0x80)), x
+            out.append(n)
+    return starts, ends
+
+
 SCHEMA = "doc_id long, license string, coverage double, matched_words int, span_start long, span_end long"
 
 
@@ -156,10 +196,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                 found = found_in(index, lexed, words, coverage)
                 if not found:
                     continue
-                row, template, share, matched, start, end = zip(*found, strict=True)
-                points = [
-                    [int(((lexed.data[lexed.text_start[r] : x] & 0xC0) != 0x80).sum()) for r, x in zip(row, places, strict=True)] for places in (start, end)
-                ]
+                row, template, share, matched, _, _ = zip(*found, strict=True)
+                points = code_points(lexed, found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array([index.names[t] for t in template]), pa.array(share, pa.float64()), pa.array(matched, pa.int32()), *(pa.array(p, pa.int64()) for p in points)],
                     names=["doc_id", "license", "coverage", "matched_words", "span_start", "span_end"],

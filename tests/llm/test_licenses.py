@@ -35,6 +35,30 @@ def test_parts_and_repeats(make, prose):
     assert [g[1] for g in found(make, [TEMPLATES["GPL-3.0 notice"]])] == ["GPL-3.0 notice"]
 
 
+@pytest.mark.parametrize("joint", ["\n", "\n\n// ", " "])
+def test_short_notices_on_successive_lines_are_each_reported(make, prose, joint):
+    names = [n for n in TEMPLATES if "notice" in n or n == "All rights reserved"]
+    texts = [f"é {prose(9, 1)}\n{joint.join([TEMPLATES[n]] * 40)}\n{prose(9, 2)}" for n in names]
+    got = found(make, texts)
+    for k, name in enumerate(names):
+        spans = [(a, b) for doc, license, share, a, b in got if doc == k and (license, share) == (name, 1.0)]
+        assert len(spans) == 40 == sum(g[0] == k for g in got)
+        assert all(texts[k][a:b] == TEMPLATES[name].rstrip(".") for a, b in spans)
+
+
+def test_edited_and_mixed_lines_in_a_run(make):
+    mit, rights = TEMPLATES["MIT notice"], TEMPLATES["All rights reserved"]
+    lines = [mit, mit.replace("the ", ""), mit, rights, "Released under", mit, rights, rights, TEMPLATES["GPL-2.0 notice"], TEMPLATES["GPL-3.0 notice"], TEMPLATES["GPL-2.0 notice"]]
+    got = found(make, ["\n".join(lines)])
+    want = ["MIT notice", "MIT notice", "MIT notice", "All rights reserved", "MIT notice", "All rights reserved", "All rights reserved", "GPL-2.0 notice", "GPL-3.0 notice", "GPL-2.0 notice"]
+    assert [g[1] for g in got] == want and [g[2] for g in got] == [1.0, 0.8] + [1.0] * 8
+
+
+def test_long_runs_take_linear_time(make):
+    got = found(make, ["Released under the MIT License.\n" * 1000, "All rights reserved.\n" * 20000, TEMPLATES["MIT"] + "\n" + TEMPLATES["MIT"]])
+    assert [sum(g[0] == k for g in got) for k in range(3)] == [1000, 20000, 2]
+
+
 def test_clean_and_edge_texts(make, prose, edges):
     assert found(make, [*edges, prose(3000, 8), "the software is provided to you", "all rights", "reserved rights all"]) == []
     assert found(make, []) == []
