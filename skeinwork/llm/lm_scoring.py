@@ -6,7 +6,7 @@ joined: each document brings its rare words' hashes, and gets the sum of their l
 
 Model: a coded word has its own embedding and output; other words share those of their form (their last two bytes), and within a form
 they share its rest by their counts, as in the unigram model. It is first fitted to a bounded sample on the driver; then every task
-fits it to its share of a fixed part of all training documents, and the mean of the tasks' parameters, weighted by tokens, is the model.
+fits it to all training documents of its own, and the mean of the tasks' parameters, weighted by tokens, is the model.
 Scoring carries the state through the whole document.
 
 Edge cases: null and empty texts are an end alone; long texts are scored whole; rows that repeat, or share an id, are scored each; a null doc_id is
@@ -29,8 +29,8 @@ from skeinwork.llm import gru
 from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
 from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix
 
-#: Most frequent words whose counts every task gets; documents of the driver's sample; one in so many training documents is fitted by its task.
-HEAD, SAMPLE, SHARE = 1 << 18, 512, 20
+#: Most frequent words whose counts every task gets; documents of the driver's sample; one in so many training documents is fitted by its task: all.
+HEAD, SAMPLE, SHARE = 1 << 18, 512, 1
 END = np.uint64(0x5EAF00D5EAF00D11)
 #: Bytes of text that are scored together: enough documents to fill the lanes beside a long one.
 LANE_BYTES = 16 << 20
@@ -154,7 +154,7 @@ def coded_documents(raw: np.ndarray, offsets: np.ndarray, words: Vocabulary) ->
 
 
 def fitted(docs: DataFrame, words: Vocabulary, sample: int = SAMPLE, share: int = SHARE) -> gru.Params:
-    """Fit to the sample on the driver, then in tasks to one in ``share`` of all training documents; the weighted mean is the model."""
+    """Fit to the sample on the driver, then in tasks to all training documents (one in ``share``, if more than 1); the weighted mean is the model."""
     params = gru.start(words.output, words.code_counts)
     train = texts(docs).where("not held_out").withColumn("__h", F.xxhash64("doc_id", "text"))
     # only ids and hashes are sorted; the texts follow by a join with the sample's rows

@@ -42,6 +42,16 @@ def test_model_learns_order(make):
     assert len(rows) > 15 and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
 
 
+def test_every_training_document_is_fitted(make):
+    """The embedding of a word moves only where a document with it is read; here each document has words of its own."""
+    docs = make([(k, f"alpha{k} beta{k} gamma{k}") for k in range(60)]).coalesce(1)
+    words = L.vocabulary(L.stored(L.counted(docs), "counts"))
+    params = L.fitted(docs, words, sample=1)
+    trained = np.setdiff1d(words.code[words.code >= 0], [words.end])
+    moved = np.abs(params["E"] - gru.start(words.output, words.code_counts)["E"]).max(axis=1)
+    assert len(trained) > 100 and (moved[trained] > 1e-4).all()
+
+
 def test_no_training_and_empty(make):
     assert L.scores(make([])).collect() == []
     rows = L.scores(make([(None, "a b"), (None, None)])).collect()
