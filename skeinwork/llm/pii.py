@@ -53,7 +53,7 @@ FOLD = {c: to for to, many in LOOKS_LIKE.items() for c in many} | {chr(c): chr(c
 FOLDED = re.compile("[" + re.escape("".join(FOLD)) + "]|(?![0-9])\\d")
 WORD_DIGIT = {w: str(d) for d, words in enumerate(DIGIT_WORDS) for w in words}
 _ONE = "(?:" + "|".join(sorted(WORD_DIGIT, key=lambda w: (-len(w), w))) + ")"
-#: At least this many spelled digits in a row, of at least so many different ones: ordinary prose has fewer.
+#: At least this many spelled digits in a row, of at least so many different ones where neither a dot nor a plus is said: ordinary prose has fewer.
 LEAST_SPELLED, LEAST_DIFFERENT = 3, 3
 _GAP = "(?:[ ,-]{1,2}| {1,3}dot {1,3})"
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_ONE}(?:{_GAP}(?:{_ONE}|[0-9](?![0-9])))+(?!\w)", re.I)
@@ -129,7 +129,8 @@ def digits_of(run: str) -> str | None:
     plus = words[0] == "plus"
     digits = "".join("." if w == "dot" else WORD_DIGIT.get(w, w) for w in words[plus:])
     spelled = sum(w in WORD_DIGIT for w in words)
-    return ("+" * plus + digits) if spelled >= LEAST_SPELLED and len({*digits} - {"."}) >= LEAST_DIFFERENT else None
+    told = plus or "." in digits  # what is no address or number then is left to the detectors
+    return ("+" * plus + digits) if spelled >= LEAST_SPELLED and (told or len({*digits}) >= LEAST_DIFFERENT) else None
 
 
 def normalise(text: str) -> Tape | None:

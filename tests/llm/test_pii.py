@@ -63,6 +63,14 @@ def test_a_fragment_does_not_hide_the_whole(text, base, added):
     assert pii.redact(f"é {text}, ok") == f"é <{added.split(':')[0].upper()}>, ok"
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("eight dot eight dot eight dot eight", "ip"), ("one zero dot zero dot zero dot one", "ip"), ("plus one five five five one one five five five one", "phone"),
+])
+def test_spelled_numbers_of_few_different_digits(text, kind):
+    assert pii.find(f"x {text}, ok") == ([], [(2, pii.KINDS.index(kind), 2 + len(text))]) and pii.redact(f"x {text}, ok") == f"x <{kind.upper()}>, ok"
+    assert pii.find("un dot un dot un un un un un un un un") == ([], [])
+
+
 def test_covered_spans_are_not_added():
     text = "a@b.cc +1 (988) 555-2485 1.2.3.4 é x [at] y [dot] zz a@b.cc"
     base, added = pii.find(text)
