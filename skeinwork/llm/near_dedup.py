@@ -259,7 +259,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     late = late_links(stored(open_blocks(buckets, reps, labels, percent), "open"), reps, labels, sets, percent)
     joined = components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
 
-    found = signs.join(classes.drop("signature"), ["s1", "s2", "n_shingles"], "left").join(joined, "id", "left")
+    # a null doc_id meets no class: its s1 is null here
+    own = signs.withColumn("s1", F.when(F.col("doc_id").isNotNull(), F.col("s1")))
+    found = own.join(classes.drop("signature"), ["s1", "s2", "n_shingles"], "left").join(joined, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -85,6 +85,13 @@ def test_repeated_rows_and_empty_table(make):
     assert N.groups(make([])).collect() == [] and N.kept_documents(make([])).collect() == []
 
 
+def test_a_null_id_is_linked_with_nothing(make, prose):
+    text = prose(60, 3)
+    got = N.groups(make([(None, text), (None, text), (7, text), (9, text), (None, None)])).collect()
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 3
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(7, 7, True), (9, 7, False)]
+
+
 def test_keys_find_every_pair_within_the_radius():
     r = np.random.default_rng(5)
     a = r.integers(0, 65536, (500, S.SYMBOLS)).astype(np.uint16)
