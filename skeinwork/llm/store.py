@@ -9,7 +9,7 @@ chunks' digests and sizes; its Merkle root is taken over them. Files below the s
 * ``recipes``              in ascending doc_id order: part, doc_id, start (ids of all documents before it), n_tokens, digests, sizes, root
 * ``manifest``             one row per part of the recipes: documents, ids and the Merkle root over its documents' roots
 
-Reading checks every chunk against its digest. ``checksums`` combines the chunks' CRCs along the recipes, so ids are read once and not
+Reading checks the recipes against the manifest, at once, and every chunk against its digest. ``checksums`` combines the chunks' CRCs along the recipes, so ids are read once and not
 moved between executors; ``restore`` gives the ids themselves back.
 
 Edge cases: a null or empty text is the end id alone; rows with the same doc_id keep a recipe each, in the order of their recipes; a null doc_id comes
@@ -119,32 +119,15 @@ def encoded(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), WRITTEN)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
-    """Encode every document and write the store below ``path``."""
-    spark = docs.sparkSession
-    rows = encoded(docs, vocabulary, end)
-    copies = Window.partitionBy("kind", "key").orderBy("doc_id")
-    once = rows.withColumn("__n", F.row_number().over(copies)).where("kind = 'recipe' or __n = 1").drop("__n")
-    once.write.partitionBy("kind").parquet(f"{path}/written")
+def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes and the Merkle root of each one's digests."""
+    for batch in batches:
+        roots = [merkle([d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]) for d in batch.column("digests").to_pylist()]
+        yield batch.append_column("root", pa.array(roots, pa.binary()))
 
-    recipes = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'recipe'").select("doc_id", "n_tokens", F.col("key").alias("digests"), "sizes")
-    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
-    ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/sorted")
-    recipes = spark.read.parquet(f"{path}/sorted")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    bases = recipes.groupBy("part").agg(F.sum("n_tokens").alias("__ids")).withColumn("__base", F.coalesce(F.sum("__ids").over(before), F.lit(0)))
-    within = Window.partitionBy("part").orderBy("doc_id", "digests").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = recipes.withColumn("__prior", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(bases.drop("__ids"), "part")
 
-    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = [merkle([d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]) for d in batch.column("digests").to_pylist()]
-            yield batch.append_column("root", pa.array(roots, pa.binary()))
-
-    shape = "part int, doc_id long, start long, n_tokens long, digests binary, sizes array<int>"
-    numbered.selectExpr("part", "doc_id", "__base + __prior as start", "n_tokens", "digests", "sizes").mapInArrow(tidied(rooted), f"{shape}, root binary").sortWithinPartitions(
-        "part", "doc_id", "digests"
-    ).write.parquet(f"{path}/recipes")
+def parts_of(rows: DataFrame) -> DataFrame:
+    """One row per part of the recipes: part, documents, ids and the Merkle root over the documents' roots."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs_, ids, roots = None, 0, 0, []
@@ -161,9 +144,34 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
     def line(part: int, n: int, ids: int, roots: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([ids]), pa.array([merkle(roots)], pa.binary())], names=["part", "documents", "ids", "root"])
 
-    spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "digests", "root").repartition("part").sortWithinPartitions("part", "doc_id", "digests").drop(
+    return rows.select("part", "doc_id", "n_tokens", "digests", "root").repartition("part").sortWithinPartitions("part", "doc_id", "digests").drop(
         "doc_id", "digests"
-    ).mapInArrow(tidied(summed), "part int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
+    ).mapInArrow(tidied(summed), "part int, documents long, ids long, root binary")
+
+
+def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
+    """Encode every document and write the store below ``path``."""
+    spark = docs.sparkSession
+    rows = encoded(docs, vocabulary, end)
+    copies = Window.partitionBy("kind", "key").orderBy("doc_id")
+    once = rows.withColumn("__n", F.row_number().over(copies)).where("kind = 'recipe' or __n = 1").drop("__n")
+    once.write.partitionBy("kind").parquet(f"{path}/written")
+
+    found = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'recipe'").select("doc_id", "n_tokens", F.col("key").alias("digests"), "sizes")
+    ordered = found.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
+    ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/sorted")
+    found = spark.read.parquet(f"{path}/sorted")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    bases = found.groupBy("part").agg(F.sum("n_tokens").alias("__ids")).withColumn("__base", F.coalesce(F.sum("__ids").over(before), F.lit(0)))
+    within = Window.partitionBy("part").orderBy("doc_id", "digests").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = found.withColumn("__prior", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(bases.drop("__ids"), "part")
+
+    shape = "part int, doc_id long, start long, n_tokens long, digests binary, sizes array<int>"
+    numbered.selectExpr("part", "doc_id", "__base + __prior as start", "n_tokens", "digests", "sizes").mapInArrow(tidied(rooted), f"{shape}, root binary").sortWithinPartitions(
+        "part", "doc_id", "digests"
+    ).write.parquet(f"{path}/recipes")
+
+    parts_of(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -227,6 +235,7 @@ def shifts(most: int) -> np.ndarray:
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the store's files: doc_id, start, n_tokens and CRC-32 of its ids as little-endian unsigned 32-bit integers."""
+    sound(spark, path)
     facts = chunks(spark, path).select("digest", "size", "crc")
     found = uses(spark, path).join(facts, "digest", "left")
     # documents are told apart by start as well: ids may repeat, and every document has its end id
@@ -257,6 +266,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """The documents' ids themselves: doc_id, start, n_tokens, ids (array of int), put together from recipes and chunks."""
+    sound(spark, path)
     found = uses(spark, path).join(chunks(spark, path).select("digest", "payload"), "digest")
     lists = found.groupBy("part", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
 
@@ -269,12 +279,19 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Parts of the manifest whose documents' roots, taken anew from the recipes, give another root (none in a sound store)."""
-
-    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = [merkle([d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]) for d in batch.column("digests").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("root"), pa.array(roots, pa.binary())], names=["part", "doc_id", "root", "anew"])
-
-    wrong = recipes(spark, path).select("part", "doc_id", "digests", "root").mapInArrow(tidied(rooted), "part int, doc_id long, root binary, anew binary").where("root <> anew")
-    return wrong.groupBy("part").agg(F.count("*").alias("documents"))
+    """Parts whose documents, ids or root, taken anew from the recipes as read, are not the manifest's, or that only one of both has (none in a sound
+    store): part, documents in the manifest, documents read."""
+    rows = recipes(spark, path).select("part", "doc_id", "n_tokens", "digests", F.col("root").alias("stored"))
+    anew = rows.mapInArrow(tidied(rooted), "part int, doc_id long, n_tokens long, digests binary, stored binary, root binary")
+    # a document's root that is not the stored one can be no leaf of the manifest's
+    leaf = F.when(F.col("root").eqNullSafe(F.col("stored")), F.col("root")).otherwise(F.concat(F.coalesce("stored", F.lit(b"")), F.lit(b"\0"), "root"))
+    read = parts_of(anew.withColumn("root", leaf)).toDF("part", "documents_read", "ids_read", "root_read")
+    both = read.join(spark.read.parquet(f"{path}/manifest"), "part", "full")
+    return both.where("not (documents <=> documents_read and ids <=> ids_read and root <=> root_read)").select("part", "documents", "documents_read")
+
+
+def sound(spark: SparkSession, path: str) -> None:
+    """Raises where the recipes are not those of the manifest."""
+    wrong = verify(spark, path).first()
+    if wrong:
+        raise ValueError(f"part {wrong.part} of the recipes is not the manifest's: {wrong.documents} documents written, {wrong.documents_read} read")

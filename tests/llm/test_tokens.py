@@ -131,6 +131,21 @@ def test_store_finds_damage(make, spark):
         store.chunks(spark, f"{path}-bad").collect()
 
 
+def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark):
+    from pyspark.sql import functions as F
+
+    path = scratch_path(spark, "store-test")
+    store.write(make([prose(50, k) for k in range(6)]), path, public_tokenizers.path(FILES[1]))
+    recipes, rest = store.recipes(spark, path), spark.read.schema(store.WRITTEN).parquet(f"{path}/written")
+    for k, bad in enumerate((recipes.where("doc_id <> 3"), recipes.where("false"), recipes.withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"x")).otherwise(F.col("root"))))):
+        rest.write.partitionBy("kind").parquet(f"{path}-{k}/written")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-{k}/manifest")
+        bad.write.parquet(f"{path}-{k}/recipes")
+        for read in (store.checksums, store.restore):
+            with pytest.raises(ValueError, match="not the manifest's"):
+                read(spark, f"{path}-{k}").collect()
+
+
 def test_store_of_nothing_and_of_repeated_ids(make, spark):
     vocabulary = public_tokenizers.path(FILES[1])
     for items, n in (([], 0), ([(1, "a"), (1, "a"), (1, "b c"), (None, None)], 4)):
