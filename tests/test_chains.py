@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import SMALL, alike
+from engine_support import SMALL, alike
 
 from skeinwork import cli
 from skeinwork.execute import pipe, running, shown, stepwise

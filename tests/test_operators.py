@@ -5,7 +5,7 @@ import itertools
 import math
 
 import pytest
-from conftest import rows
+from engine_support import rows
 from pyspark.sql import functions as F
 
 from skeinwork.model import Aggregate, Chain, Combine, Source, Transform
