@@ -20,9 +20,12 @@ BLOCK_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests) a temporary one is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a temporary one; on a cluster, whose executors
+    don't share such folders, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,10 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches by bytes, so that very long texts cannot pile up in a worker or in the buffers beside the JVM's heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that very long texts cannot pile up in a worker or in the buffers beside the JVM's heap. All operators ask
+    for the same bounds, and smaller ones that the session has already stay; so plans may be made in any order."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4096)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(name, None)
+        if not (have and have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(name, str(most))
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,6 +4,8 @@ Tokens are codes: the most frequent words have one each, other words share the c
 (each of the few most frequent words is one, every form is one), and, within a form's class, its coded words and a rest. Both levels are
 softmaxes of the recurrent state. Training is truncated backpropagation over windows; states are carried from window to window, in
 training and in scoring, and start anew with each document.
+
+Arrays hold units in rows and (step, lane) in columns, so that the parts of a gate are whole blocks of memory.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ import numpy as np
 #: Units of the state and of the embedding; words with a code, those that are classes of their own, and forms.
 STATE, EMBED, WORDS, SINGLES, FORMS = 24, 16, 2048, 48, 48
 CODES, CLASSES = WORDS + FORMS, SINGLES + FORMS
-#: Steps of a window, and rows that move together in training and in scoring.
-STEPS, TRAIN_LANES, LANES = 32, 128, 256
+#: Steps of a window in training and in scoring, rows that move together in scoring, and columns of the class softmax that are taken together.
+STEPS, WINDOW, LANES, COLUMNS = 32, 64, 256, 2048
+#: In training a document is read in parts of so many tokens, each from a fresh state, so that a very long one doesn't leave lanes idle.
+PART = 2048
 Params = dict[str, np.ndarray]
 
 
@@ -42,35 +46,47 @@ class Output:
         return cls(klass, place, members)
 
 
+SHAPES = {"E": (CODES, EMBED), "W": (EMBED, 3 * STATE), "b": (3 * STATE,), "R": (STATE, 3 * STATE), "C": (STATE, CLASSES), "c": (CLASSES,), "U": (CODES, STATE), "u": (CODES,)}
+
+
+def views(flat: np.ndarray) -> Params:
+    """The parameters by name, as views of one array."""
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        size = int(np.prod(shape))
+        out[name] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
+
+def packed(p: Params) -> np.ndarray:
+    return np.concatenate([p[name].ravel() for name in SHAPES])
+
+
 def start(output: Output, counts: np.ndarray, seed: int = 11) -> Params:
     """Parameters whose first predictions are the counts' shares. ``counts``: of each code."""
     random = np.random.default_rng(seed)
-    draw = lambda *shape: random.normal(0, 0.1, shape).astype(np.float32)
     known = output.cls >= 0
     by_class = np.bincount(output.cls[known], weights=counts[known], minlength=CLASSES) + 0.5
-    return {
-        "E": draw(CODES, EMBED), "W": draw(EMBED, 3 * STATE), "b": np.zeros(3 * STATE, np.float32), "R": draw(STATE, 3 * STATE),
-        "C": draw(STATE, CLASSES), "c": np.log(by_class / by_class.sum()).astype(np.float32),
-        "U": draw(CODES, STATE), "u": np.log(counts + 0.5).astype(np.float32),
-    }
+    p = {name: random.normal(0, 0.1, shape).astype(np.float32) for name, shape in SHAPES.items()}
+    return p | {"b": np.zeros(3 * STATE, np.float32), "c": np.log(by_class / by_class.sum()).astype(np.float32), "u": np.log(counts + 0.5).astype(np.float32)}
 
 
-def lanes_of(docs: list[np.ndarray], most: int, longest_first: bool) -> list[list[int]]:
-    """Documents dealt to lanes of about equal length; fewer lanes where one document is long."""
+def lanes_of(docs: list[np.ndarray], most: int) -> list[list[int]]:
+    """Documents dealt to lanes of about equal length, the longest lane first; fewer lanes where one document is long."""
     sizes = np.array([len(d) for d in docs])
     n = int(np.clip(-(-sizes.sum() // max(int(sizes.max()), 256)), 1, most))
-    order = np.argsort(-sizes, kind="stable")
     lanes: list[list[int]] = [[] for _ in range(n)]
     load = np.zeros(n, np.int64)
-    for k in order:
+    for k in np.argsort(-sizes, kind="stable"):
         i = int(np.argmin(load))
         lanes[i].append(int(k))
         load[i] += sizes[k]
-    return sorted(lanes, key=lambda lane: -sum(sizes[k] for k in lane)) if longest_first else lanes
+    return [lanes[i] for i in np.argsort(-load, kind="stable")]
 
 
-def stream(docs: list[np.ndarray], lanes: list[list[int]], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays (step, lane): the code read, the code to predict, and the document (-1 after a lane's end). ``first`` is read before a document."""
+def stream(docs: list[np.ndarray], lanes: list[list[int]], before: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (step, lane): the code read, the code to predict, and the document (-1 after a lane's end). ``before``: read before each document."""
     steps = max(sum(len(docs[k]) for k in lane) for lane in lanes)
     read, target = np.zeros((steps, len(lanes)), np.int32), np.zeros((steps, len(lanes)), np.int32)
     doc = np.full((steps, len(lanes)), -1, np.int32)
@@ -78,160 +94,209 @@ def stream(docs: list[np.ndarray], lanes: list[list[int]], first: int) -> tuple[
         at = 0
         for k in lane:
             n = len(docs[k])
-            read[at, i], read[at + 1 : at + n, i], target[at : at + n, i], doc[at : at + n, i] = first, docs[k][:-1], docs[k], k
+            read[at, i], read[at + 1 : at + n, i], target[at : at + n, i], doc[at : at + n, i] = before[k], docs[k][:-1], docs[k], k
             at += n
     return read, target, doc
 
 
-def step(h: np.ndarray, a: np.ndarray, R: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step: update and reset gates, candidate, new state."""
-    u = h @ R
-    gates = np.tanh(0.5 * (a[:, : 2 * STATE] + u[:, : 2 * STATE]))
-    gates *= 0.5
-    gates += 0.5
-    z, r, un = gates[:, :STATE], gates[:, STATE:], u[:, 2 * STATE :]
-    n = np.tanh(a[:, 2 * STATE :] + r * un)
-    return z, r, un, n, n + z * (h - n)
+def starts(doc: np.ndarray) -> np.ndarray:
+    """Where a document begins in its lane."""
+    new = np.ones_like(doc, bool)
+    new[1:] = doc[1:] != doc[:-1]
+    return new
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def halved(x: np.ndarray, axis: int) -> np.ndarray:
+    """Gates' inputs times a half: a logistic gate is (tanh of half its input + 1) / 2."""
+    x = x.copy()
+    x[(slice(None),) * axis + (slice(0, 2 * STATE),)] *= 0.5
+    return x
 
 
-def by_form(cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(form, rows) of the rows whose class is a form."""
+def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """States (unit, step, lane) after every step and the last one; with ``keep`` also the states before, gates, recurrent candidate parts and candidates."""
+    steps, lanes = read.shape
+    a = np.take(halved(p["E"] @ p["W"] + p["b"], 1).T, read, axis=1)
+    R = np.ascontiguousarray(halved(p["R"], 1).T)
+    states = np.empty((STATE, steps, lanes), h.dtype)
+    kept = tuple(np.empty((n, steps, lanes), h.dtype) for n in (STATE, 2 * STATE, STATE, STATE)) if keep else ()
+    some = new.any(axis=1)
+    for k in range(steps):
+        if some[k]:
+            h = h * ~new[k]
+        u = R @ h
+        g = u[: 2 * STATE]
+        g += a[: 2 * STATE, k]
+        np.tanh(g, out=g)
+        g += 1
+        g *= 0.5
+        n = g[STATE:] * u[2 * STATE :]
+        n += a[2 * STATE :, k]
+        np.tanh(n, out=n)
+        if keep:
+            kept[0][:, k], kept[1][:, k], kept[2][:, k], kept[3][:, k] = h, g, u[2 * STATE :], n
+        h = h - n
+        h *= g[:STATE]
+        h += n
+        states[:, k] = h
+    return states, h, kept
+
+
+def settled(logits: np.ndarray, at: np.ndarray, shares: bool = False) -> np.ndarray:
+    """Log probabilities of the rows ``at``, one per column, of softmaxes over the columns; ``logits`` is overwritten, by the shares if asked for."""
+    logits -= logits.max(axis=0)
+    found = logits[at, np.arange(len(at))]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    if shares:
+        logits /= total
+    return found - np.log(total)
+
+
+def by_form(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns whose class is a form, form by form, and where each form's begin (FORMS + 1)."""
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(SINGLES, CLASSES + 1))
-    return [(f, order[bounds[f] : bounds[f + 1]]) for f in range(FORMS) if bounds[f + 1] > bounds[f]]
+    return order[bounds[0] :], bounds - bounds[0]
 
 
 def log_probabilities(p: Params, output: Output, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the target codes' probabilities, given the states before them."""
-    cls = output.cls[target]
-    out = log_softmax(states @ p["C"] + p["c"])[np.arange(len(target)), cls]
-    for f, rows in by_form(cls):
-        codes = output.members[f]
-        out[rows] += log_softmax(states[rows] @ p["U"][codes].T + p["u"][codes])[np.arange(len(rows)), output.place[target[rows]]]
+    """Natural log of the target codes' probabilities, given the states (units in rows) before them."""
+    cls, out = output.cls[target], np.empty(len(target), states.dtype)
+    C = np.ascontiguousarray(p["C"].T)
+    for i in range(0, len(target), COLUMNS):
+        part = slice(i, i + COLUMNS)
+        out[part] = settled(C @ states[:, part] + p["c"][:, None], cls[part])
+    order, bounds = by_form(cls)
+    inner = states[:, order]
+    for f in range(FORMS):
+        a, b = bounds[f], bounds[f + 1]
+        if b > a:
+            codes = output.members[f]
+            out[order[a:b]] += settled(p["U"][codes] @ inner[:, a:b] + p["u"][codes][:, None], output.place[target[order[a:b]]])
     return out
 
 
-def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window: int = 64) -> np.ndarray:
-    """Natural log probability of every document (arrays of codes, each ending with the end code)."""
+def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window: int = WINDOW) -> np.ndarray:
+    """Natural log probability of every document (arrays of codes, each ending with the end code), read whole from its own first state."""
     total = np.zeros(len(docs))
     if not docs:
         return total
-    lanes = lanes_of(docs, LANES, longest_first=True)
+    lanes = lanes_of(docs, LANES)
     length = np.array([sum(len(docs[k]) for k in lane) for lane in lanes])
-    table = p["E"] @ p["W"] + p["b"]
-    read, target, doc = stream(docs, lanes, first)
-    h = np.zeros((len(lanes), STATE), np.float32)
+    read, target, doc = stream(docs, lanes, [first] * len(docs))
+    new = starts(doc)
+    h = np.zeros((STATE, len(lanes)), np.float32)
     for at in range(0, len(read), window):
         live = int((length > at).sum())  # lanes are ordered by length
-        r, t, d = (x[at : at + window, :live] for x in (read, target, doc))
-        a, h = table[r], h[:live]
-        states = np.empty((len(r), live, STATE), np.float32)
-        new = np.ones_like(d, bool)
-        new[1:] = d[1:] != d[:-1]
-        new[0] = True if at == 0 else d[0] != doc[at - 1, :live]
-        for k in range(len(r)):
-            if new[k].any():
-                h = np.where(new[k][:, None], np.float32(0), h)
-            h = step(h, a[k], p["R"])[-1]
-            states[k] = h
-        used = d.ravel() >= 0
-        found = log_probabilities(p, output, states.reshape(-1, STATE)[used], t.ravel()[used])
-        total += np.bincount(d.ravel()[used], weights=found, minlength=len(docs))
+        part = slice(at, at + window), slice(0, live)
+        states, h, _ = recurrence(p, read[part], new[part], h[:, :live])
+        states, goal, d = states.reshape(STATE, -1), target[part].ravel(), doc[part].ravel()
+        if (d < 0).any():
+            used = np.flatnonzero(d >= 0)
+            states, goal, d = states[:, used], goal[used], d[used]
+        total += np.bincount(d, weights=log_probabilities(p, output, states, goal), minlength=len(docs))
     return total
 
 
 def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.ndarray, doc: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """Gradients of the mean loss over a window, the state after it, and the loss."""
-    steps, lanes = read.shape
-    a = (p["E"] @ p["W"] + p["b"])[read]
-    kept, states = [], np.empty((steps, lanes, STATE), np.float32)
-    for k in range(steps):
-        h = np.where(new[k][:, None], np.float32(0), h)
-        z, r, un, n, after = step(h, a[k], p["R"])
-        kept.append((h, z, r, un, n))
-        states[k] = h = after
-    flat, goal, used = states.reshape(-1, STATE), target.ravel(), np.flatnonzero(doc.ravel() >= 0)
-    g: Params = {k: np.zeros_like(v) for k, v in p.items()}
-    d_states = np.zeros_like(flat)
-    cls, rows = output.cls[goal[used]], np.arange(len(used))
-    logs = log_softmax(flat[used] @ p["C"] + p["c"])
-    loss = -logs[rows, cls].sum()
-    d = np.exp(logs)
-    d[rows, cls] -= 1
-    d /= len(used)
-    g["C"], g["c"] = flat[used].T @ d, d.sum(axis=0)
-    d_states[used] = d @ p["C"].T
-    for f, some in by_form(cls):
-        codes, at, place = output.members[f], used[some], output.place[goal[used[some]]]
-        logs = log_softmax(flat[at] @ p["U"][codes].T + p["u"][codes])
-        loss -= logs[np.arange(len(at)), place].sum()
-        d = np.exp(logs)
-        d[np.arange(len(at)), place] -= 1
-        d /= len(used)
-        g["U"][codes] += d.T @ flat[at]
-        g["u"][codes] += d.sum(axis=0)
-        d_states[at] += d @ p["U"][codes]
-    d_states = d_states.reshape(steps, lanes, STATE)
-    d_a, d_h = np.empty((steps, lanes, 3 * STATE), np.float32), np.zeros((lanes, STATE), np.float32)
-    for k in reversed(range(steps)):
-        before, z, r, un, n = kept[k]
-        d_h = d_h + d_states[k]
-        d_n = d_h * (1 - z) * (1 - n * n)
-        d_r = d_n * un * r * (1 - r)
-        d_z = d_h * (before - n) * z * (1 - z)
-        d_u = np.concatenate([d_z, d_r, d_n * r], axis=1)
-        d_a[k] = np.concatenate([d_z, d_r, d_n], axis=1)
-        g["R"] += before.T @ d_u
-        d_h = np.where(new[k][:, None], np.float32(0), d_h * z + d_u @ p["R"].T)
-    d_rows = d_a.reshape(-1, 3 * STATE)
-    g["b"], codes = d_rows.sum(axis=0), read.ravel()
-    g["W"] = p["E"][codes].T @ d_rows
-    np.add.at(g["E"], codes, d_rows @ p["W"].T)
-    return g, h, float(loss) / len(used)
-
-
-def train(p: Params, output: Output, docs: list[np.ndarray], first: int, epochs: int = 1, rate: float = 0.01, clip: float = 1.0) -> tuple[Params, list[float]]:
-    """Adam over windows of STEPS; returns new parameters and the mean loss of each epoch."""
-    p = {k: v.copy() for k, v in p.items()}
-    if not docs:
-        return p, []
-    read, target, doc = stream(docs, lanes_of(docs, TRAIN_LANES, longest_first=True), first)
-    m, v, t, losses = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, []
-    for _ in range(epochs):
-        h, seen, total = np.zeros((read.shape[1], STATE), np.float32), 0, 0.0
+    states, h, (before, gates, un, n) = recurrence(p, read, new, h, keep=True)
+    used = np.flatnonzero(doc.ravel() >= 0)
+    flat, goal = states.reshape(STATE, -1)[:, used], target.ravel()[used]
+    g: Params = {"U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"]), "E": np.zeros_like(p["E"])}
+    cls, m, loss = output.cls[goal], len(used), 0.0
+    g["C"], g["c"], d_flat = np.zeros_like(p["C"]), np.zeros_like(p["c"]), np.empty_like(flat)
+    C = np.ascontiguousarray(p["C"].T)
+    for i in range(0, m, COLUMNS):
+        part = slice(i, i + COLUMNS)
+        d = C @ flat[:, part] + p["c"][:, None]
+        loss -= settled(d, cls[part], shares=True).sum()
+        d[cls[part], np.arange(d.shape[1])] -= 1
+        d *= 1 / m
+        g["C"] += flat[:, part] @ d.T
+        g["c"] += d.sum(axis=1)
+        d_flat[:, part] = p["C"] @ d
+    order, bounds = by_form(cls)
+    inner, place = flat[:, order], output.place[goal[order]]
+    d_inner = np.empty_like(inner)
+    for f in range(FORMS):
+        a, b = bounds[f], bounds[f + 1]
+        if b > a:
+            codes = output.members[f]
+            U = p["U"][codes]
+            d = U @ inner[:, a:b] + p["u"][codes][:, None]
+            loss -= settled(d, place[a:b], shares=True).sum()
+            d[place[a:b], np.arange(b - a)] -= 1
+            d *= 1 / m
+            g["U"][codes], g["u"][codes] = d @ inner[:, a:b].T, d.sum(axis=1)
+            d_inner[:, a:b] = U.T @ d
+    d_flat[:, order] += d_inner
+    d_states = np.zeros((STATE, read.size), h.dtype)
+    d_states[:, used] = d_flat
+    d_states = d_states.reshape(states.shape)
+
+    z, r = gates[:STATE], gates[STATE:]
+    to_n, to_r, to_z = (1 - z) * (1 - n * n), un * r * (1 - r), (before - n) * z * (1 - z)
+    d_u, d_n = np.empty((3 * STATE, *read.shape), h.dtype), np.empty_like(n)
+    d_h, some, R = np.zeros_like(h), new.any(axis=1), p["R"]
+    for k in reversed(range(len(read))):
+        d_h = d_h + d_states[:, k]
+        du = np.empty((3 * STATE, read.shape[1]), h.dtype)
+        dn = d_h * to_n[:, k]
+        np.multiply(d_h, to_z[:, k], out=du[:STATE])
+        np.multiply(dn, to_r[:, k], out=du[STATE : 2 * STATE])
+        np.multiply(dn, r[:, k], out=du[2 * STATE :])
+        d_u[:, k], d_n[:, k] = du, dn
+        d_h *= z[:, k]
+        d_h += R @ du
+        if some[k]:
+            d_h *= ~new[k]
+    d_u, codes = d_u.reshape(3 * STATE, -1), read.ravel()
+    g["R"] = before.reshape(STATE, -1) @ d_u.T
+    d_u[2 * STATE :] = d_n.reshape(STATE, -1)  # the candidate's input is not behind its gate
+    g["b"], g["W"] = d_u.sum(axis=1), np.take(p["E"].T, codes, axis=1) @ d_u.T
+    order = np.argsort(codes, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
+    g["E"][codes[order[heads]]] = np.add.reduceat((p["W"] @ d_u)[:, order], heads, axis=1).T
+    return g, h, float(loss) / m
+
+
+class Trainer:
+    """Adam over windows of STEPS; its moments live on from call to call."""
+
+    def __init__(self, p: Params, output: Output, first: int, clip: float = 1.0) -> None:
+        self.flat, self.output, self.first, self.clip = packed(p).astype(np.float32), output, first, clip
+        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+    @property
+    def params(self) -> Params:
+        return views(self.flat)
+
+    def fit(self, docs: list[np.ndarray], rate: float, lanes: int) -> float:
+        """One pass over ``docs``; the mean loss."""
+        parts, before = [], []
+        for d in docs:
+            for i in range(0, len(d), PART):
+                parts.append(d[i : i + PART])
+                before.append(int(d[i - 1]) if i else self.first)
+        read, target, doc = stream(parts, lanes_of(parts, lanes), before)
+        new, p = starts(doc), self.params
+        h, seen, total = np.zeros((STATE, read.shape[1]), np.float32), 0, 0.0
         for at in range(0, len(read), STEPS):
-            r, g, d = read[at : at + STEPS], target[at : at + STEPS], doc[at : at + STEPS]
-            if not (n := int((d >= 0).sum())):
-                break
-            new = np.ones_like(d, bool)
-            new[1:] = d[1:] != d[:-1]
-            new[0] = True if at == 0 else d[0] != doc[at - 1]
-            grads, h, loss = window_gradients(p, output, r, g, d, new, h)
-            total, seen, t = total + loss * n, seen + n, t + 1
-            norm = np.sqrt(sum(float((x * x).sum()) for x in grads.values()))
-            shrink = min(1.0, clip / max(norm, 1e-9))
-            for k, x in grads.items():
-                x = x * np.float32(shrink)
-                m[k] += np.float32(0.1) * (x - m[k])
-                v[k] += np.float32(0.001) * (x * x - v[k])
-                p[k] -= np.float32(rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
-        losses.append(total / max(seen, 1))
-    return p, losses
-
-
-def packed(p: Params) -> bytes:
-    return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
-
-
-def unpacked(data: np.ndarray, like: Params) -> Params:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = data[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+            part = slice(at, at + STEPS)
+            n = int((doc[part] >= 0).sum())
+            grads, h, loss = window_gradients(p, self.output, read[part], target[part], doc[part], new[part], h)
+            total, seen = total + loss * n, seen + n
+            self.step(packed(grads), rate)
+        return total / max(seen, 1)
+
+    def step(self, x: np.ndarray, rate: float) -> None:
+        x *= np.float32(min(1.0, self.clip / max(float(np.sqrt(x @ x)), 1e-9)))
+        self.t += 1
+        self.m += np.float32(0.1) * (x - self.m)
+        x *= x
+        self.v += np.float32(0.001) * (x - self.v)
+        down = np.sqrt(self.v)
+        down += np.float32(1e-8)
+        self.flat -= np.float32(rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)) * self.m / down

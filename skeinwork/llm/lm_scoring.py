@@ -5,19 +5,24 @@ frequent words make two bounded tables for the tasks: the model's coded words, a
 joined: each document brings its rare words' hashes, and gets the sum of their log counts back.
 
 Model: a coded word has its own embedding and output; other words share those of their form (their last two bytes), and within a form
-they share its rest by their counts, as in the unigram model. It is first fitted to a bounded sample on the driver; then every task
-fits it to all training documents of its own, and the mean of the tasks' parameters, weighted by tokens, is the model.
-Scoring carries the state through the whole document.
-
-Edge cases: null and empty texts are an end alone; long texts are scored whole; rows that repeat, or share an id, are scored each; a null doc_id is
-held out from training; without training documents counts are 0 and the model predicts alike; an empty table gives an empty result;
-extra columns are not read.
+they share its rest by their counts, as in the unigram model. Texts are turned to codes once, and that table is stored. Its training
+documents fall into shards by a hash of id and text; the number of shards grows with the training tokens. The first shard gives a common
+beginning, then every shard, in the order of its hashes, fits the model to all its documents, and the mean of the shards' parameters,
+weighted by tokens, is the model. Neither the files of the input nor the number of tasks has a part in that. Scoring carries the state
+through the whole document.
+
+Edge cases: null and empty texts are an end alone; long texts are scored whole (in training they are read in parts of a bounded length, all of them);
+rows that repeat, or share an id, are scored each; a null doc_id is held out from training; without training documents counts are 0 and the model
+predicts alike; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from math import ceil
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +32,16 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm import gru
 from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
-from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix
-
-#: Most frequent words whose counts every task gets; documents of the driver's sample; one in so many training documents is fitted by its task: all.
-HEAD, SAMPLE, SHARE = 1 << 18, 512, 1
+from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix, row_sums
+
+#: Most frequent words whose counts every task gets.
+HEAD = 1 << 18
+#: Training tokens of a shard (about), how often at most the first one, where it is small, is read to begin with, and tokens that are laid out in lanes together.
+SHARD, EPOCHS, TOGETHER = 1 << 21, 8, 1 << 19
+#: Step sizes and lanes of the beginning and of the shards.
+FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.003, 64, 128
 END = np.uint64(0x5EAF00D5EAF00D11)
-#: Bytes of text that are scored together: enough documents to fill the lanes beside a long one.
-LANE_BYTES = 16 << 20
-#: Distinct words that a task gathers before it sends their counts on, and numbers of means of the tasks' models.
+#: Distinct words that a task gathers before it sends their counts on, and numbers of means of the shards' models.
 GATHER, MEANS = 1 << 18, (256, 16)
 
 
@@ -147,109 +154,133 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(word[order], n[order], code[order], gru.Output.of(form[:coded]), code_counts, rest, int(total["tokens"] or 0), int(total["distinct"]))
 
 
-def coded_documents(raw: np.ndarray, offsets: np.ndarray, words: Vocabulary) -> list[np.ndarray]:
-    lexed = lex(raw, offsets)
-    code, _ = words.look_up(lexed.hashes(lower=True), forms(lexed))
-    return [np.append(code[a:b], words.end).astype(np.int32) for a, b in zip(lexed.first[:-1], lexed.first[1:], strict=True)]
+CODED = """row long, doc_id long, held_out boolean, hash long, n_tokens long, n_known long, base double, late double, codes binary,
+           rare array<long>, times array<int>"""
 
 
-def fitted(docs: DataFrame, words: Vocabulary, sample: int = SAMPLE, share: int = SHARE) -> gru.Params:
-    """Fit to the sample on the driver, then in tasks to all training documents (one in ``share``, if more than 1); the weighted mean is the model."""
-    params = gru.start(words.output, words.code_counts)
-    train = texts(docs).where("not held_out").withColumn("__h", F.xxhash64("doc_id", "text"))
-    # only ids and hashes are sorted; the texts follow by a join with the sample's rows
-    chosen = train.select("doc_id", "__h").orderBy("__h", "doc_id").limit(sample).distinct()
-    first = train.join(F.broadcast(chosen), ["doc_id", "__h"]).select("text")
+def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """Per document: its codes (2 bytes each, the end last), what a task can tell of the sums (log10), and the rare words to be looked up. ``late``: what
+    its words without a code add to the model's part, their share of their form's rest, as far as the head knows them."""
+    log_rest = np.log10(words.rest)
+    end_log = np.log10((words.code_counts[words.end] if words.tokens else 0) + 0.1)
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            raw, offsets = text_views(batch.column(0))
+            raw, offsets = text_views(batch.column(3))
             for i, j in blocks(offsets):
-                yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in coded_documents(raw, offsets[i : j + 1], words)], pa.binary())], names=["codes"])
+                lexed = lex(raw, offsets[i : j + 1])
+                first, hashes, form = lexed.first, lexed.hashes(lower=True), forms(lexed)
+                code, count = words.look_up(hashes, form)
+                logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.1), 0.0)
+                late = np.where(code >= gru.WORDS, logs - log_rest[form], 0.0)
+                codes = np.insert(code, first[1:], words.end).astype("<u2")
+                data, ends = codes.tobytes(), (2 * (first + np.arange(len(first)))).tolist()
+                rare, times = [], []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    these = hashes[a:b][count[a:b] < 0]
+                    found, n = np.unique(these, return_counts=True) if len(these) else (these, these)
+                    rare.append(found.view(np.int64))
+                    times.append(n.astype(np.int32))
+                arrays = [
+                    pa.array(row + np.arange(j - i)), *(batch.column(k).slice(i, j - i) for k in (0, 1, 2)), pa.array(np.diff(first) + 1),
+                    pa.array(row_sums(count > 0, first).astype(np.int64) + (words.tokens > 0)), pa.array(row_sums(logs, first) + end_log), pa.array(row_sums(late, first)),
+                    pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                ]
+                row += j - i
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "hash", "n_tokens", "n_known", "base", "late", "codes", "rare", "times"])
+
+    return texts(docs).select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(tidied(run), CODED)
+
+
+def documents_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def together(docs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in order, in groups of at least TOGETHER tokens but for the last."""
+    group, size = [], 0
+    for d in docs:
+        group.append(d)
+        size += len(d)
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params:
+    """``rows``: the stored codes. Fit to all training documents, shard by shard; the weighted mean of the shards' parameters is the model."""
+    params = gru.start(words.output, words.code_counts)
+    shards = max(1, ceil(words.tokens / shard))
+    train = rows.where("not held_out").select(F.pmod("hash", F.lit(shards)).cast("int").alias("shard"), "hash", "codes")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [d for batch in batches for d in documents_of(batch.column(2))]
+        trainer, size = gru.Trainer(params, words.output, words.end), sum(map(len, docs))
+        for _ in range(min(EPOCHS, max(1, shard // size)) if docs else 0):
+            for group in together(iter(docs)):
+                trainer.fit(group, FIRST_RATE, FIRST_LANES)
+        yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tobytes()], pa.binary())], names=["params"])
+
+    # a shard, by its definition, not the corpus: about 2 * SHARD bytes
+    one = train.where("shard = 0").repartition(1).sortWithinPartitions("hash", "codes").mapInArrow(tidied(begin), "params binary").collect()
+    common = gru.views(np.frombuffer(one[0]["params"], np.float32)) if one else params
 
-    sampled = sorted(first.mapInArrow(tidied(codes), "codes binary").toArrow().column(0).to_pylist())
-    params, _ = gru.train(params, words.output, [np.frombuffer(d, np.int32) for d in sampled], words.end, epochs=2)
+    def line(part: int, tokens: int, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=["part", "tokens", "params"])
 
     def refit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = params, 0
-        for batch in batches:  # windows, not documents, bound the memory; a batch bounds the documents at hand
-            raw, offsets = text_views(batch.column(0))
-            these = coded_documents(raw, offsets, words)
-            own, _ = gru.train(own, words.output, these, words.end, rate=0.002)
-            tokens += sum(map(len, these))
-        if tokens:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([gru.packed(own)], pa.binary())], names=["part", "tokens", "params"])
+        pairs = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), documents_of(batch.column(2)), strict=True))
+        for part, docs in groupby(pairs, itemgetter(0)):
+            trainer, tokens = gru.Trainer(common, words.output, words.end), 0
+            for group in together(d for _, d in docs):
+                trainer.fit(group, RATE, SHARD_LANES)
+                tokens += sum(map(len, group))
+            yield line(part, tokens, trainer.flat)
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for part, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "params")), strict=True):
                 tokens, total = sums.get(part, (0, 0.0))
-                sums[part] = tokens + n, total + n * np.frombuffer(data, "<f4").astype(np.float64)
+                sums[part] = tokens + n, total + n * np.frombuffer(data, "<f8")
         for part, (tokens, total) in sorted(sums.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())], names=["part", "tokens", "params"])
+            yield line(part, tokens, total / tokens)
 
     shape = "part int, tokens long, params binary"
-    means = train.where(F.pmod("__h", F.lit(share)) == 0).select("text").mapInArrow(tidied(refit), shape)
-    for parts in MEANS:  # parameters are summed as they come, in two levels; few reach the driver
-        means = means.withColumn("part", F.col("part") % parts).repartition("part").mapInArrow(tidied(mean), shape)
-    means = means.collect()
-    if not means:
-        return params
-    means.sort(key=lambda r: r["params"])
-    total = sum(r["tokens"] for r in means)
-    return gru.unpacked(sum(r["tokens"] / total * np.frombuffer(r["params"], "<f4").astype(np.float64) for r in means), params)
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>, times array<int>"
+    # a given number of tasks: few bytes make much work here, so they must not be joined by size
+    means = train.repartition(2 * shards, "shard").sortWithinPartitions("shard", "hash", "codes").mapInArrow(tidied(refit), shape)
+    for parts in MEANS:  # parameters are summed in two levels; few reach the driver
+        groups = means.withColumn("of", F.col("part")).withColumn("part", F.col("part") % parts)
+        means = groups.repartition("part").sortWithinPartitions("part", "of").drop("of").mapInArrow(tidied(mean), shape)
+    found = sorted(means.collect(), key=lambda r: r["part"])
+    if not found:
+        return common
+    total = sum(r["tokens"] for r in found)
+    return gru.views(sum(r["tokens"] / total * np.frombuffer(r["params"], "<f8") for r in found).astype(np.float32))
 
 
-def scored(docs: DataFrame, words: Vocabulary, params: gru.Params) -> DataFrame:
-    """Per document what a task can tell: sums over its head words (log10), the model's part, and the rare words to be looked up."""
-    log_rest = np.log10(words.rest)
+def modelled(rows: DataFrame, words: Vocabulary, params: gru.Params) -> DataFrame:
+    """The model's part of every document's score (log10), beside its other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            raw, offsets = text_views(batch.column(2))
-            codes: list[np.ndarray] = []
-            parts: list[list] = [[], [], [], [], [], []]
-            for i, j in blocks(offsets):
-                lexed = lex(raw, offsets[i : j + 1])
-                hashes, form = lexed.hashes(lower=True), forms(lexed)
-                code, count = words.look_up(hashes, form)
-                logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.1), 0.0)
-                sums = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[lexed.first])  # noqa: B023, E731
-                uncoded = code >= gru.WORDS
-                end = np.log10((words.code_counts[words.end] if words.tokens else 0) + 0.1)
-                parts[0] += (np.diff(lexed.first) + 1).tolist()
-                parts[1] += (sums(count > 0).round().astype(np.int64) + (words.tokens > 0)).tolist()
-                parts[2] += (sums(logs) + end).tolist()
-                # in the model a word without a code adds its share of its form's rest
-                parts[3] += sums(np.where(uncoded, logs - log_rest[form], 0.0)).tolist()
-                for a, b in zip(lexed.first[:-1], lexed.first[1:], strict=True):
-                    codes.append(np.append(code[a:b], words.end).astype(np.int32))
-                    rare, n = np.unique(hashes[a:b][count[a:b] < 0], return_counts=True)
-                    parts[4].append(rare.view(np.int64))
-                    parts[5].append(n.astype(np.int32))
-            model = gru.score(params, words.output, codes, words.end) / np.log(10) + np.array(parts[3])
-            arrays = [
-                pa.array(row + np.arange(batch.num_rows)), batch.column(0), batch.column(1), pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()),
-                pa.array(parts[2], pa.float64()), pa.array(model, pa.float64()), pa.array(parts[4], pa.list_(pa.int64())), pa.array(parts[5], pa.list_(pa.int32())),
-            ]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "times"])
-
-    return texts(docs).mapInArrow(tidied(run), SCORED)
-
-
-def scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE, share: int = SHARE) -> DataFrame:
+            model = gru.score(params, words.output, documents_of(batch.column(7)), words.end) / np.log(10) + batch.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "late", "codes"]
+    return rows.select(*names).mapInArrow(tidied(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
+
+
+def scores(docs: DataFrame, head: int = HEAD, shard: int = SHARD) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    text_batches(docs.sparkSession, LANE_BYTES)
+    text_batches(docs.sparkSession)
     counts = stored(counted(docs), "counts")
     words = vocabulary(counts, head)
-    rows = stored(scored(docs, words, fitted(docs, words, sample, share)), "scored")
+    rows = stored(coded(docs, words), "coded")
+    params = fitted(rows, words, shard)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     found = rare.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
@@ -258,7 +289,7 @@ def scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE, share: int =
     log_all = float(np.log10(words.tokens + 0.1 * (words.distinct + 1)))
     late = F.coalesce("rare_log", F.lit(0.0))
     # rare words' forms are in the model's part already, less the log of their counts
-    return rows.drop("rare", "times").join(found, "row", "left").select(
+    return modelled(rows, words, params).join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + late - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (F.col("model") + late).alias("score"),
     )
