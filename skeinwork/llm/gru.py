@@ -113,67 +113,87 @@ def halved(x: np.ndarray, axis: int) -> np.ndarray:
     return x
 
 
-def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """States (unit, step, lane) after every step and the last one; with ``keep`` also the states before, gates, recurrent candidate parts and candidates."""
+def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By step: states before it, the recurrent product (its first two thirds become the gates), candidates and states after it (unit, lane)."""
     steps, lanes = read.shape
     a = np.take(halved(p["E"] @ p["W"] + p["b"], 1).T, read, axis=1)
     R = np.ascontiguousarray(halved(p["R"], 1).T)
-    states = np.empty((STATE, steps, lanes), h.dtype)
-    kept = tuple(np.empty((n, steps, lanes), h.dtype) for n in (STATE, 2 * STATE, STATE, STATE)) if keep else ()
+    before, product, candidate, after = (np.empty((steps, n, lanes), h.dtype) for n in (STATE, 3 * STATE, STATE, STATE))
     some = new.any(axis=1)
     for k in range(steps):
+        before[k] = h
         if some[k]:
-            h = h * ~new[k]
-        u = R @ h
+            before[k] *= ~new[k]
+        u, n, h = product[k], candidate[k], after[k]
+        np.matmul(R, before[k], out=u)
         g = u[: 2 * STATE]
         g += a[: 2 * STATE, k]
         np.tanh(g, out=g)
         g += 1
         g *= 0.5
-        n = g[STATE:] * u[2 * STATE :]
+        np.multiply(g[STATE:], u[2 * STATE :], out=n)
         n += a[2 * STATE :, k]
         np.tanh(n, out=n)
-        if keep:
-            kept[0][:, k], kept[1][:, k], kept[2][:, k], kept[3][:, k] = h, g, u[2 * STATE :], n
-        h = h - n
+        np.subtract(before[k], n, out=h)
         h *= g[:STATE]
         h += n
-        states[:, k] = h
-    return states, h, kept
+    return before, product, candidate, after
 
 
-def settled(logits: np.ndarray, at: np.ndarray, shares: bool = False) -> np.ndarray:
-    """Log probabilities of the rows ``at``, one per column, of softmaxes over the columns; ``logits`` is overwritten, by the shares if asked for."""
+def columns(x: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+    """(step, unit, lane) as (unit, step and lane), with a last row of ones."""
+    steps, units, lanes = x.shape
+    out = np.ones((units + 1, steps, lanes), x.dtype)
+    out[:units] = x.transpose(1, 0, 2)
+    out = out.reshape(units + 1, -1)
+    return out if used is None else out[:, used]
+
+
+def settled(logits: np.ndarray, at: np.ndarray, gradient: bool = False) -> np.ndarray:
+    """Log probabilities of the rows ``at``, one per column, of softmaxes over the columns; ``logits`` is overwritten, by the gradients of the loss if
+    asked for."""
+    column = np.arange(len(at))
     logits -= logits.max(axis=0)
-    found = logits[at, np.arange(len(at))]
+    found = logits[at, column]
     np.exp(logits, out=logits)
     total = logits.sum(axis=0)
-    if shares:
+    if gradient:
         logits /= total
+        logits[at, column] -= 1
     return found - np.log(total)
 
 
+class Heads:
+    """The output's two levels as matrices with their biases as a last column; a form's codes stand together."""
+
+    def __init__(self, p: Params, output: Output) -> None:
+        self.order = np.concatenate(output.members)
+        self.bounds = np.cumsum([0, *map(len, output.members)])
+        self.classes = np.concatenate([p["C"].T, p["c"][:, None]], axis=1)
+        self.codes = np.concatenate([p["U"], p["u"][:, None]], axis=1)[self.order]
+
+
 def by_form(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The columns whose class is a form, form by form, and where each form's begin (FORMS + 1)."""
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(SINGLES, CLASSES + 1))
     return order[bounds[0] :], bounds - bounds[0]
 
 
 def log_probabilities(p: Params, output: Output, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the target codes' probabilities, given the states (units in rows) before them."""
-    cls, out = output.cls[target], np.empty(len(target), states.dtype)
-    C = np.ascontiguousarray(p["C"].T)
+    """Natural log of the target codes' probabilities, given the states before them (as ``columns`` gives them)."""
+    heads, cls, out = Heads(p, output), output.cls[target], np.empty(len(target), states.dtype)
     for i in range(0, len(target), COLUMNS):
         part = slice(i, i + COLUMNS)
-        out[part] = settled(C @ states[:, part] + p["c"][:, None], cls[part])
+        out[part] = settled(heads.classes @ states[:, part], cls[part])
     order, bounds = by_form(cls)
-    inner = states[:, order]
+    inner, place = states[:, order], output.place[target[order]]
+    found = np.empty(len(order), states.dtype)
     for f in range(FORMS):
-        a, b = bounds[f], bounds[f + 1]
-        if b > a:
-            codes = output.members[f]
-            out[order[a:b]] += settled(p["U"][codes] @ inner[:, a:b] + p["u"][codes][:, None], output.place[target[order[a:b]]])
+        part = slice(bounds[f], bounds[f + 1])
+        if bounds[f + 1] > bounds[f]:
+            found[part] = settled(heads.codes[heads.bounds[f] : heads.bounds[f + 1]] @ inner[:, part], place[part])
+    out[order] += found
     return out
 
 
@@ -190,76 +210,68 @@ def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window:
     for at in range(0, len(read), window):
         live = int((length > at).sum())  # lanes are ordered by length
         part = slice(at, at + window), slice(0, live)
-        states, h, _ = recurrence(p, read[part], new[part], h[:, :live])
-        states, goal, d = states.reshape(STATE, -1), target[part].ravel(), doc[part].ravel()
-        if (d < 0).any():
-            used = np.flatnonzero(d >= 0)
-            states, goal, d = states[:, used], goal[used], d[used]
-        total += np.bincount(d, weights=log_probabilities(p, output, states, goal), minlength=len(docs))
+        *_, states = recurrence(p, read[part], new[part], h[:, :live])
+        h, goal, d = states[-1], target[part].ravel(), doc[part].ravel()
+        used = np.flatnonzero(d >= 0) if (d < 0).any() else slice(None)
+        total += np.bincount(d[used], weights=log_probabilities(p, output, columns(states, used), goal[used]), minlength=len(docs))
     return total
 
 
 def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.ndarray, doc: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """Gradients of the mean loss over a window, the state after it, and the loss."""
-    states, h, (before, gates, un, n) = recurrence(p, read, new, h, keep=True)
+    before, product, n, after = recurrence(p, read, new, h)
     used = np.flatnonzero(doc.ravel() >= 0)
-    flat, goal = states.reshape(STATE, -1)[:, used], target.ravel()[used]
-    g: Params = {"U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"]), "E": np.zeros_like(p["E"])}
-    cls, m, loss = output.cls[goal], len(used), 0.0
-    g["C"], g["c"], d_flat = np.zeros_like(p["C"]), np.zeros_like(p["c"]), np.empty_like(flat)
-    C = np.ascontiguousarray(p["C"].T)
+    flat, goal = columns(after, used), target.ravel()[used]
+    heads, cls, m, loss = Heads(p, output), output.cls[goal], len(used), 0.0
+    d_classes, d_codes, d_flat = np.zeros_like(heads.classes), np.zeros_like(heads.codes), np.empty((STATE, m), h.dtype)
+    outward = np.ascontiguousarray(heads.classes[:, :STATE].T)
     for i in range(0, m, COLUMNS):
         part = slice(i, i + COLUMNS)
-        d = C @ flat[:, part] + p["c"][:, None]
-        loss -= settled(d, cls[part], shares=True).sum()
-        d[cls[part], np.arange(d.shape[1])] -= 1
-        d *= 1 / m
-        g["C"] += flat[:, part] @ d.T
-        g["c"] += d.sum(axis=1)
-        d_flat[:, part] = p["C"] @ d
+        d = heads.classes @ flat[:, part]
+        loss -= settled(d, cls[part], gradient=True).sum()
+        d_classes += d @ flat[:, part].T
+        np.matmul(outward, d, out=d_flat[:, part])
     order, bounds = by_form(cls)
     inner, place = flat[:, order], output.place[goal[order]]
-    d_inner = np.empty_like(inner)
+    d_inner = np.empty((STATE, len(order)), h.dtype)
     for f in range(FORMS):
-        a, b = bounds[f], bounds[f + 1]
-        if b > a:
-            codes = output.members[f]
-            U = p["U"][codes]
-            d = U @ inner[:, a:b] + p["u"][codes][:, None]
-            loss -= settled(d, place[a:b], shares=True).sum()
-            d[place[a:b], np.arange(b - a)] -= 1
-            d *= 1 / m
-            g["U"][codes], g["u"][codes] = d @ inner[:, a:b].T, d.sum(axis=1)
-            d_inner[:, a:b] = U.T @ d
+        part, own = slice(bounds[f], bounds[f + 1]), slice(heads.bounds[f], heads.bounds[f + 1])
+        if bounds[f + 1] > bounds[f]:
+            d = heads.codes[own] @ inner[:, part]
+            loss -= settled(d, place[part], gradient=True).sum()
+            d_codes[own] = d @ inner[:, part].T
+            d_inner[:, part] = heads.codes[own, :STATE].T @ d
     d_flat[:, order] += d_inner
+    d_flat /= m
     d_states = np.zeros((STATE, read.size), h.dtype)
     d_states[:, used] = d_flat
-    d_states = d_states.reshape(states.shape)
+    d_states = d_states.reshape(STATE, *read.shape)
+    g: Params = {"C": d_classes[:, :STATE].T / m, "c": d_classes[:, STATE] / m, "U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"]), "E": np.zeros_like(p["E"])}
+    g["U"][heads.order], g["u"][heads.order] = d_codes[:, :STATE] / m, d_codes[:, STATE] / m
 
-    z, r = gates[:STATE], gates[STATE:]
+    z, r, un = product[:, :STATE], product[:, STATE : 2 * STATE], product[:, 2 * STATE :]
     to_n, to_r, to_z = (1 - z) * (1 - n * n), un * r * (1 - r), (before - n) * z * (1 - z)
-    d_u, d_n = np.empty((3 * STATE, *read.shape), h.dtype), np.empty_like(n)
+    d_u, d_n, back = np.empty_like(product), np.empty_like(n), np.empty_like(h)
     d_h, some, R = np.zeros_like(h), new.any(axis=1), p["R"]
     for k in reversed(range(len(read))):
-        d_h = d_h + d_states[:, k]
-        du = np.empty((3 * STATE, read.shape[1]), h.dtype)
-        dn = d_h * to_n[:, k]
-        np.multiply(d_h, to_z[:, k], out=du[:STATE])
-        np.multiply(dn, to_r[:, k], out=du[STATE : 2 * STATE])
-        np.multiply(dn, r[:, k], out=du[2 * STATE :])
-        d_u[:, k], d_n[:, k] = du, dn
-        d_h *= z[:, k]
-        d_h += R @ du
+        d_h += d_states[:, k]
+        du, dn = d_u[k], d_n[k]
+        np.multiply(d_h, to_n[k], out=dn)
+        np.multiply(d_h, to_z[k], out=du[:STATE])
+        np.multiply(dn, to_r[k], out=du[STATE : 2 * STATE])
+        np.multiply(dn, r[k], out=du[2 * STATE :])
+        d_h *= z[k]
+        d_h += np.matmul(R, du, out=back)
         if some[k]:
             d_h *= ~new[k]
-    d_u, codes = d_u.reshape(3 * STATE, -1), read.ravel()
-    g["R"] = before.reshape(STATE, -1) @ d_u.T
-    d_u[2 * STATE :] = d_n.reshape(STATE, -1)  # the candidate's input is not behind its gate
+    g["R"] = np.matmul(before, d_u.transpose(0, 2, 1)).sum(axis=0)
+    d_u[:, 2 * STATE :] = d_n  # the candidate's input is not behind its gate
+    d_u, codes = np.ascontiguousarray(d_u.transpose(1, 0, 2)).reshape(3 * STATE, -1), read.ravel()
     g["b"], g["W"] = d_u.sum(axis=1), np.take(p["E"].T, codes, axis=1) @ d_u.T
-    order = np.argsort(codes, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
-    g["E"][codes[order[heads]]] = np.add.reduceat((p["W"] @ d_u)[:, order], heads, axis=1).T
-    return g, h, float(loss) / m
+    order = np.argsort(codes.astype(np.int16), kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
+    g["E"][codes[order[firsts]]] = np.add.reduceat((p["W"] @ d_u)[:, order], firsts, axis=1).T
+    return g, after[-1], float(loss) / m
 
 
 class Trainer:

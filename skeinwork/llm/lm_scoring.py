@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import gru
-from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
+from skeinwork.llm.common import blocks, steady_heap, stored, text_batches, text_views, tidied
 from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix, row_sums
 
 #: Most frequent words whose counts every task gets.
@@ -39,10 +39,10 @@ HEAD = 1 << 18
 #: Training tokens of a shard (about), how often at most the first one, where it is small, is read to begin with, and tokens that are laid out in lanes together.
 SHARD, EPOCHS, TOGETHER = 1 << 21, 8, 1 << 19
 #: Step sizes and lanes of the beginning and of the shards.
-FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.003, 64, 128
+FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.006, 64, 256
 END = np.uint64(0x5EAF00D5EAF00D11)
 #: Distinct words that a task gathers before it sends their counts on, and numbers of means of the shards' models.
-GATHER, MEANS = 1 << 18, (256, 16)
+GATHER, MEANS = 1 << 18, (256, 16, 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,7 +221,8 @@ def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params
         trainer, size = gru.Trainer(params, words.output, words.end), sum(map(len, docs))
         for _ in range(min(EPOCHS, max(1, shard // size)) if docs else 0):
             for group in together(iter(docs)):
-                trainer.fit(group, FIRST_RATE, FIRST_LANES)
+                with steady_heap():
+                    trainer.fit(group, FIRST_RATE, FIRST_LANES)
         yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tobytes()], pa.binary())], names=["params"])
 
     # a shard, by its definition, not the corpus: about 2 * SHARD bytes
@@ -236,7 +237,8 @@ def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params
         for part, docs in groupby(pairs, itemgetter(0)):
             trainer, tokens = gru.Trainer(common, words.output, words.end), 0
             for group in together(d for _, d in docs):
-                trainer.fit(group, RATE, SHARD_LANES)
+                with steady_heap():
+                    trainer.fit(group, RATE, SHARD_LANES)
                 tokens += sum(map(len, group))
             yield line(part, tokens, trainer.flat)
 
@@ -252,7 +254,7 @@ def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params
     shape = "part int, tokens long, params binary"
     # a given number of tasks: few bytes make much work here, so they must not be joined by size
     means = train.repartition(2 * shards, "shard").sortWithinPartitions("shard", "hash", "codes").mapInArrow(tidied(refit), shape)
-    for parts in MEANS:  # parameters are summed in two levels; few reach the driver
+    for parts in MEANS:  # parameters are summed in levels; one set reaches the driver
         groups = means.withColumn("of", F.col("part")).withColumn("part", F.col("part") % parts)
         means = groups.repartition("part").sortWithinPartitions("part", "of").drop("of").mapInArrow(tidied(mean), shape)
     found = sorted(means.collect(), key=lambda r: r["part"])
@@ -267,7 +269,8 @@ def modelled(rows: DataFrame, words: Vocabulary, params: gru.Params) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model = gru.score(params, words.output, documents_of(batch.column(7)), words.end) / np.log(10) + batch.column(6).to_numpy()
+            with steady_heap():
+                model = gru.score(params, words.output, documents_of(batch.column(7)), words.end) / np.log(10) + batch.column(6).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "late", "codes"]

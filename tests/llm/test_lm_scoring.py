@@ -121,7 +121,7 @@ def test_probabilities_sum_to_one():
     r, out, p = small()
     states = r.normal(size=(gru.STATE, 3)).astype(np.float32)
     for s in states.T:
-        logs = gru.log_probabilities(p, out, np.repeat(s[:, None], gru.CODES, axis=1), np.arange(gru.CODES))
+        logs = gru.log_probabilities(p, out, np.repeat(np.append(s, np.float32(1))[:, None], gru.CODES, axis=1), np.arange(gru.CODES))
         assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
