@@ -3,7 +3,8 @@
 A text is a set of n-grams: of its words (one and two), and of its words' shapes (one to three: letters, capitals, signs, repetition). Every
 n-gram's indicator is scaled by its naive Bayes log-count ratio and the row to unit length; dual coordinate descent fits a linear
 hinge-loss model to the rows, and a logistic curve turns margins into scores. The model is a pair of tables of fixed size, whatever the
-input. It is fitted on at most ``sample`` labelled rows, those with the smallest hashes of their ids; every document is scored.
+input. It is fitted on at most ``sample`` labelled documents with at most MOST feature numbers, those with the smallest
+hashes of their ids; every document is scored.
 
 Edge cases: null and empty texts have no n-grams and get the score of the bias; null labels and labels of unknown documents are not learned from,
 repeated labels of a document count as the least of them; rows that repeat get equal scores; without any labelled row of either class the score is
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views, tidied
-from skeinwork.llm.lexer import U, Lexed, lex, mix, windows
+from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
+from skeinwork.llm.lexer import U, Lexed, lex, mix, row_sums, windows
 
-#: Labelled rows to learn from at most, and bits of a feature's number.
-SAMPLE, BITS = 8192, 18
+#: Labelled documents to learn from at most, feature numbers (4 bytes each) that they may have in all, and bits of a feature's number.
+SAMPLE, MOST, BITS = 8192, 1 << 25, 18
 CLASS = np.zeros(256, np.uint8)
 CLASS[[*range(48, 58)]] = 1
 CLASS[[*range(97, 123)]] = 2
@@ -76,8 +77,7 @@ class Model:
     bits: int
 
     def scores(self, feats: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        sums = lambda t: np.diff(np.concatenate(([0.0], np.cumsum(t[feats].astype(float))))[bounds])
-        margin = sums(self.gain) / np.sqrt(np.maximum(sums(self.norm), 1e-12)) + self.bias
+        margin = row_sums(self.gain[feats], bounds) / np.sqrt(np.maximum(row_sums(self.norm[feats], bounds), 1e-12)) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
@@ -146,21 +146,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, bounds and labels of the sample: at most ``sample`` rows come to the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, bits: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, bounds and labels of the sample: in the order of their ids' hashes, at most ``sample`` documents with at most ``most`` feature numbers
+    in all come to the driver."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    chosen = chosen.select("doc_id", "label", F.xxhash64("doc_id").alias("hash")).orderBy("hash", "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_views(batch.column(1))
+            raw, offsets = text_views(batch.column(2))
             for i, j in blocks(offsets):
                 found, bounds = features(lex(raw, offsets[i : j + 1]), bits)
                 parts = [found[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(parts, pa.binary())], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(parts, pa.binary())], names=["label", "hash", "n", "features"]
+                )
 
-    rows = texts.mapInArrow(tidied(run), "label int, features binary").toArrow().sort_by([("label", "ascending"), ("features", "ascending")])
+    found = stored(texts.mapInArrow(tidied(run), "label int, hash long, n long, features binary"), "labelled")
+    held, last = 0, None
+    for r in sorted(found.groupBy("hash").agg(F.sum("n").alias("n")).collect()):  # at most ``sample`` rows
+        held += r["n"]
+        if held > most:
+            break
+        last = r["hash"]
+    found = found.where(F.col("hash") <= last) if last is not None else found.limit(0)
+    rows = found.select("label", "features").toArrow().sort_by([("label", "ascending"), ("features", "ascending")])
     parts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("features").to_pylist()]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), bounds, rows.column("label").to_numpy()
