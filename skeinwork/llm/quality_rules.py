@@ -1,10 +1,11 @@
 """Quality rules: compression bands.
 
 Each text's UTF-8 bytes are compressed with zstandard, whole and in fixed chunks. Repetitive text compresses too well and noise too
-badly, and both depend on length, so the limits are bands by length. A document goes if its whole ratio leaves its band, or if the
-median ratio of its full chunks leaves the chunk band. The base counts come from vectorised passes over the same bytes.
+badly, and both depend on length, so the limits are bands by length. A document goes if its whole ratio leaves its band, or if more
+than a share of its chunks leave theirs: full chunks that of chunks, the last partial one that of texts of its length. The base counts come
+from vectorised passes over the same bytes.
 
-Edge cases: null and empty texts have no words, so the base rule fails them; a text shorter than one chunk has no chunk ratio and
+Edge cases: null and empty texts have no words, so the base rule fails them; a text shorter than one chunk has no chunks of its own and
 only the whole band decides; repeated rows get equal verdicts; an empty table gives an empty result; extra columns are not read.
 Very long texts are compressed whole, in bounded memory besides the text itself.
 """
@@ -36,14 +37,14 @@ class Bands:
         (2048, 0.445, 0.72), (4096, 0.425, 0.68), (8192, 0.395, 0.66), (16384, 0.375, 0.65), (float("inf"), 0.30, 0.65),
     )
     chunk: int = 1024
-    #: Limits for the median chunk (the upper one of two): of texts with one full chunk, and of longer ones.
-    one_chunk: tuple[float, float] = (0.49, 0.75)
-    many_chunks: tuple[float, float] = (0.505, 0.72)
+    #: Limits of a full chunk, and the share of a text's chunks that may be outside.
+    chunks: tuple[float, float] = (0.50, 0.70)
+    outside: float = 0.25
     level: int = 3
 
 
-SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
-            ratio double, chunk_ratio double, base_failed boolean, kept boolean"""
+SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean,
+            ratio double, n_chunks long, chunks_outside long"""
 
 
 def repeated_words(lexed: Lexed, hashes: np.ndarray, width: int = 3) -> np.ndarray:
@@ -94,23 +95,27 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def ratios(text: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float | None, float | None, int]:
-    """Ratio of the whole text, median ratio of its full chunks, and their number."""
+def ratios(text: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float | None, int, int]:
+    """Ratio of the whole text, number of its chunks (none of a text shorter than one), and how many of them are outside their band."""
     if not text:
-        return None, None, 0
-    view, size = memoryview(text), bands.chunk
-    parts = sorted(len(press.compress(view[i : i + size])) / size for i in range(0, len(text) - size + 1, size))
-    return len(press.compress(text)) / len(text), parts[len(parts) // 2] if parts else None, len(parts)
+        return None, 0, 0
+    view, size, n, outside = memoryview(text), bands.chunk, 0, 0
+    for i in range(0, len(text), size) if len(text) >= size else ():
+        part = view[i : i + size]
+        low, high = bands.chunks if len(part) == size else limits(len(part), bands)
+        n, outside = n + 1, outside + (not low <= len(press.compress(part)) / len(part) <= high)
+    return len(press.compress(text)) / len(text), n, outside
 
 
-def in_bands(n_bytes: int, whole: float | None, chunk: float | None, chunks: int, bands: Bands) -> bool:
+def limits(n_bytes: int, bands: Bands) -> tuple[float, float]:
+    return next(b for b in bands.whole if n_bytes < b[0])[1:]
+
+
+def in_bands(n_bytes: int, whole: float | None, chunks: int, outside: int, bands: Bands) -> bool:
     if whole is None:
         return False
-    _, low, high = next(b for b in bands.whole if n_bytes < b[0])
-    if not low <= whole <= high:
-        return False
-    low, high = bands.many_chunks if chunks > 1 else bands.one_chunk
-    return chunk is None or low <= chunk <= high
+    low, high = limits(n_bytes, bands)
+    return low <= whole <= high and outside <= bands.outside * chunks
 
 
 def assess(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -124,19 +129,19 @@ def assess(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             ids = batch.column(0)
             for i, j in blocks(offsets):
                 counts = base_counts(raw, offsets[i : j + 1])
-                whole, chunk, inside = [], [], []
+                whole, chunks, outside, inside = [], [], [], []
                 for k in range(i, j):
                     text = raw[offsets[k] : offsets[k + 1]].tobytes()
-                    a, b, n = ratios(text, bands, press)
-                    whole.append(a)
-                    chunk.append(b)
-                    inside.append(in_bands(len(text), a, b, n, bands))
+                    found = ratios(text, bands, press)
+                    for column, value in zip((whole, chunks, outside), found, strict=True):
+                        column.append(value)
+                    inside.append(in_bands(len(text), *found, bands))
                 words, repeats = counts["n_words"], counts["n_repeat_words"]
                 failed = (words < 50) | (100 * repeats > 50 * words)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), *map(pa.array, counts.values()), pa.array(whole, pa.float64()), pa.array(chunk, pa.float64()),
-                     pa.array(failed), pa.array(~failed & np.array(inside, bool))],
-                    names=["doc_id", *counts, "ratio", "chunk_ratio", "base_failed", "kept"],
+                    [ids.slice(i, j - i), *map(pa.array, counts.values()), pa.array(failed), pa.array(~failed & np.array(inside, bool)),
+                     pa.array(whole, pa.float64()), pa.array(chunks, pa.int64()), pa.array(outside, pa.int64())],
+                    names=["doc_id", *counts, "base_failed", "kept", "ratio", "n_chunks", "chunks_outside"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)

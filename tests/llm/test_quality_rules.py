@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -27,9 +28,12 @@ def brute(text):
     if data and not failed:
         ratio = len(press.compress(data)) / len(data)
         low, high = next((a, b) for n, a, b in bands.whole if len(data) < n)
-        parts = sorted(len(press.compress(data[i : i + bands.chunk])) / bands.chunk for i in range(0, len(data) - bands.chunk + 1, bands.chunk))
-        few = bands.many_chunks if len(parts) > 1 else bands.one_chunk
-        kept = low <= ratio <= high and (not parts or few[0] <= parts[len(parts) // 2] <= few[1])
+        parts = [data[i : i + bands.chunk] for i in range(0, len(data), bands.chunk)] if len(data) >= bands.chunk else []
+        out = 0
+        for part in parts:
+            few = bands.chunks if len(part) == bands.chunk else next((a, b) for n, a, b in bands.whole if len(part) < n)
+            out += not few[0] <= len(press.compress(part)) / len(part) <= few[1]
+        kept = low <= ratio <= high and out / max(len(parts), 1) <= bands.outside
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, kept
 
 
@@ -41,6 +45,27 @@ def test_against_brute_force(make, prose, edges):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute(text), text and text[:40]
 
 
+def test_local_junk_counts_wherever_it_stands(make):
+    """Long texts of plain prose with a share of noise or of repetition; the whole ratio alone would pass the mixtures."""
+    r = random.Random(4)
+    syllable = lambda: r.choice("bcdfghklmnprstvz") + r.choice("aeiou") + r.choice(["", "", "n", "s", "r", "l"])
+    words = lambda n: " ".join("".join(syllable() for _ in range(r.randint(1, 3))) for _ in range(n))
+    noise = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    good = words(2500)
+    texts = [good, good + " " + noise(int(0.42 * len(good))), good[: len(good) // 2] + " " + noise(len(good) // 2), words(1500) + " xy" * 2000, good + " " + noise(400)]
+    got = {x.doc_id: x for x in Q.assess(make(texts)).collect()}
+    assert [got[k].kept for k in range(5)] == [True, False, False, False, True]
+    assert 0.3 <= got[1].ratio <= 0.65
+
+
+def test_good_and_bad_labels(spark):
+    """What the bands cost and catch among labelled documents."""
+    tables = "/root/testdata/sf0.01"
+    found = Q.assess(spark.read.parquet(f"{tables}/documents.parquet")).join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").collect()
+    share = lambda q: sum(r.kept for r in found if r.quality == q) / sum(r.quality == q for r in found)
+    assert share(1) > 0.9 and share(0) < 0.5
+
+
 def test_stage_keeps_columns_and_agrees(make, prose):
     docs = make([prose(200, k) for k in range(8)] + ["spam " * 300, None])
     kept = Q.kept_documents(docs)
