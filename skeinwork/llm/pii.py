@@ -2,7 +2,7 @@
 
 Detectors for e-mail addresses, IP addresses, card and phone numbers run on the text as it is (base spans), then on a normalised form made by
 three transducers: look-alike characters to ASCII, spelled-out digits to digits, and written-out "at" / "dot" to signs. Each transducer
-keeps, for every character it writes, the source characters it stands for, so what is found maps back to spans of the source. Such a
+keeps the places of its edits before and after them, so what is found maps back, pass by pass, to spans of the source. Such a
 span is added unless a base span of its kind covers it wholly: a base span may be a mere fragment of what the normalised form shows.
 
 Edge cases: null and empty texts have no spans; texts are searched whole, with patterns that take linear time; spans of different kinds may
@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,7 +63,11 @@ BRACKETED_AT = re.compile(r" {0,3}[\[({<] {0,3}(?:at|@) {0,3}[\])}>] {0,3}", re.
 BRACKETED_DOT = re.compile(r" {0,3}[\[({<] {0,3}(?:dot|\.|punkt|point|punto) {0,3}[\])}>] {0,3}", re.I)
 WORDED_DOT = re.compile(r"(?<=[A-Za-z0-9-]) {1,3}dot {1,3}(?=[A-Za-z0-9])", re.I)
 WORDED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-]) {1,3}at {1,3}(?=[A-Za-z0-9-]+(?: {1,3}dot {1,3}| {0,3}[\[({<] {0,3}dot)[A-Za-z0-9\])}>])", re.I)
-MAYBE_SIGN = re.compile(r"(?<= )dot |[\[({<] {0,3}(?:at|@|dot|\.|punkt|point|punto) {0,3}[\])}>]", re.I)
+PLAIN_AT = re.compile(r" {1,3}at {1,3}(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9]))")
+MAILBOX = re.compile(r"(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9]+(?:[._%+-]+[A-Za-z0-9]+)+|[A-Za-z]+[0-9]+")
+# Words that invite to write to an address.
+INVITES = re.compile(r"(?<![A-Za-z])(?:e-?mail|mail|write|contact|reach)(?: to)?:? {1,3}\Z", re.I)
+MAYBE_SIGN = re.compile(r"(?<= )dot | at {1,3}[A-Za-z0-9.-]*\.[A-Za-z]{2}|[\[({<] {0,3}(?:at|@|dot|\.|punkt|point|punto) {0,3}[\])}>]", re.I)
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -103,24 +108,36 @@ def detect(text: str) -> list[Span]:
 
 
 class Tape:
-    """A text under rewriting: for every character, the source span that it stands for."""
+    """A text under rewriting. Every pass leaves the places of its edits, before and after it; what it leaves as it is takes no memory."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), False
-
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        if not edits:
-            return
-        text, start, end, last = [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            text += [self.text[last:a], new]
-            start += self.start[last:a]
-            end += self.end[last:a]
-            if new:
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
-            last = b
-        self.text, self.start, self.end, self.changed = "".join(text), start, end, True
+        self.text, self.layers = text, []
+
+    def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """``edits``: start, end and new text, in order and apart."""
+        text, last, at = [], 0, 0
+        old_start, old_end, new_start, new_end = (array("q") for _ in range(4))
+        for a, b, new in edits:
+            text += (self.text[last:a], new)
+            at += a - last
+            old_start.append(a)
+            old_end.append(b)
+            new_start.append(at)
+            at, last = at + len(new), b
+            new_end.append(at)
+        if old_start:
+            self.text = "".join([*text, self.text[last:]])
+            self.layers.append((old_start, old_end, new_start, new_end))
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the source that a span (not empty) of the text as it is now stands for."""
+        for old_start, old_end, new_start, new_end in reversed(self.layers):
+            i, j = bisect_right(new_start, start) - 1, bisect_right(new_start, end - 1) - 1
+            if i >= 0:
+                start = old_start[i] if start < new_end[i] else old_end[i] + start - new_end[i]
+            if j >= 0:
+                end = old_end[j] if end - 1 < new_end[j] else old_end[j] + end - new_end[j]
+        return start, end
 
 
 def digits_of(run: str) -> str | None:
@@ -133,6 +150,18 @@ def digits_of(run: str) -> str | None:
     return ("+" * plus + digits) if spelled >= LEAST_SPELLED and (told or len({*digits}) >= LEAST_DIFFERENT) else None
 
 
+def worded_signs(text: str) -> Iterator[tuple[int, int, str]]:
+    """An "at" before a domain with plain dots: prose has that too ("look at example.com"), so what stands before it must look like a mailbox, or the
+    word before that must ask to write there."""
+    for m in PLAIN_AT.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        box = text[start : m.start()]
+        if MAILBOX.fullmatch(box) or (box and INVITES.search(text, max(0, start - 20), start)):
+            yield m.start(), m.end(), "@"
+
+
 def normalise(text: str) -> Tape | None:
     """The normalised form, or None where no transducer has anything to do."""
     fold, spelled, sign = FOLDED.search(text), MAYBE_SPELLED.search(text), MAYBE_SIGN.search(text)
@@ -140,15 +169,16 @@ def normalise(text: str) -> Tape | None:
         return None
     tape = Tape(text)
     if fold:
-        tape.rewrite([(m.start(), m.end(), FOLD[m[0]] if m[0] in FOLD else str(int(m[0]))) for m in FOLDED.finditer(text)])
+        tape.rewrite((m.start(), m.end(), FOLD[m[0]] if m[0] in FOLD else str(int(m[0]))) for m in FOLDED.finditer(text))
     if fold or spelled:
-        tape.rewrite([(m.start(), m.end(), digits) for m in SPELLED.finditer(tape.text) if (digits := digits_of(m[0]))])
-    tape.rewrite([(m.start(), m.end(), "@") for m in WORDED_AT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(tape.text)])
+        tape.rewrite((m.start(), m.end(), digits) for m in SPELLED.finditer(tape.text) if (digits := digits_of(m[0])))
+    tape.rewrite((m.start(), m.end(), "@") for m in WORDED_AT.finditer(tape.text))
+    tape.rewrite(worded_signs(tape.text))
+    tape.rewrite((m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(tape.text))
+    tape.rewrite((m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(tape.text))
     if "@" in tape.text or DIGIT.search(tape.text):
-        tape.rewrite([(m.start(), m.end(), ".") for m in WORDED_DOT.finditer(tape.text)])
-    return tape if tape.changed else None
+        tape.rewrite((m.start(), m.end(), ".") for m in WORDED_DOT.finditer(tape.text))
+    return tape if tape.layers else None
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -161,7 +191,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     known = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
     added = set()
     for a, kind, b in detect(tape.text):
-        start, end = tape.start[a], tape.end[b - 1]
+        start, end = tape.source(a, b)
         at = bisect_right(known[kind], (start, len(text)))
         if not at or known[kind][at - 1][1] < end:
             added.add((start, kind, end))
@@ -172,7 +202,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -185,12 +215,12 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 base, added = find(text.as_py() or "")
                 counts = [sum(k == n for _, k, _ in base) for n in range(len(KINDS))]
-                rows.append((*counts, len(added), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + added))))
+                rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + added)), len(added)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64()] * 5 + [pa.string()] * 2
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
