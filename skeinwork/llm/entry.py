@@ -69,7 +69,7 @@ QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_quality_rules, op3_li
 ORACLES = {
     "op6_mix_sources": """
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-                  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS k FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s0),
 s2 AS (SELECT *, ((n - 1) % 3) + 1 AS w, source_size * 3 AS cap FROM s1),

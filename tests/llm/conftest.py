@@ -18,7 +18,9 @@ def make(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("id", "key", "score", "size", "row", "n", "word", "part", "label", "held_out", "component", "piece"):
+            names = "id key score size row n word part label held_out component piece hash codes shard signature bucket budget epochs".split()
+            inner = "size source doc tie key total target epochs part row bucket base budget prior sum text n rank row base h own".split()
+            for name in dict.fromkeys([*names, *(f"__{x}" for x in inner)]):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

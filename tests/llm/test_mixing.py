@@ -58,6 +58,7 @@ def test_mixed_documents_hold_the_words_taken(make, prose, edges):
     for r in out.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
         assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        assert all(r[c] == "x" for c in docs.columns[5:])
     assert dict(words) == {r.doc_id: r.taken for r in M.mix(docs, buckets=8).collect() if r.taken}
 
 
