@@ -9,8 +9,8 @@ chunks' digests and sizes; its Merkle root is taken over them. Files below the s
 * ``recipes``              in ascending doc_id order: part, doc_id, start (ids of all documents before it), n_tokens, digests, sizes, root
 * ``manifest``             one row per part of the recipes: documents, ids and the Merkle root over its documents' roots
 
-Reading checks the recipes against the manifest, at once, and every chunk against its digest. ``checksums`` combines the chunks' CRCs along the recipes, so ids are read once and not
-moved between executors; ``restore`` gives the ids themselves back.
+Reading checks the recipes against the manifest, at once, and every chunk against its digest. ``checksums`` combines the chunks' CRCs along
+the recipes, so ids are read once and not moved between executors; ``restore`` gives the ids themselves back.
 
 Edge cases: a null or empty text is the end id alone; rows with the same doc_id keep a recipe each, in the order of their recipes; a null doc_id comes
 first; an empty table gives an empty store that reads as no rows; extra columns are not read; long documents have long recipes, no cap.
@@ -153,7 +153,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
     """Encode every document and write the store below ``path``."""
     spark = docs.sparkSession
     rows = encoded(docs, vocabulary, end)
-    copies = Window.partitionBy("kind", "key").orderBy("doc_id")
+    # a chunk has no doc_id, so its copies (one or a few from each task) meet; recipes of equal documents do not
+    copies = Window.partitionBy("kind", "key", "doc_id").orderBy(F.lit(0))
     once = rows.withColumn("__n", F.row_number().over(copies)).where("kind = 'recipe' or __n = 1").drop("__n")
     once.write.partitionBy("kind").parquet(f"{path}/written")
 
@@ -174,8 +175,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
     parts_of(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored chunk: digest, size, crc and payload; raises where a payload does not match its digest."""
+def chunks(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """Every stored chunk (or those in ``only``, a bounded table of digests): digest, size, crc and payload; raises where a payload does not match its digest."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +190,9 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(crc, pa.int64())], names=["digest", "payload", "size", "crc"])
 
     text_batches(spark)
-    stored = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'chunk'")
-    return stored.select("key", "payload").mapInArrow(tidied(verified), "digest binary, payload binary, size int, crc long")
+    stored = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
+    stored = stored if only is None else stored.join(F.broadcast(only), "digest", "left_semi")
+    return stored.mapInArrow(tidied(verified), "digest binary, payload binary, size int, crc long")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -203,6 +205,29 @@ def uses(spark: SparkSession, path: str) -> DataFrame:
     return recipes(spark, path).select("part", "doc_id", "start", "n_tokens", F.posexplode(digests).alias("seq", "digest"))
 
 
+#: Documents, by a hash, of which one in so many tells the common chunks; those that make more than one in COMMON of their uses, so at most COMMON.
+TELLS, COMMON = 16, 4096
+
+
+def common(spark: SparkSession, path: str) -> DataFrame | None:
+    """Digests that would each bring a large share of all uses to one task of a join. Which they are has no part in any result."""
+    some = uses(spark, path).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(TELLS)) == 0)
+    total = recipes(spark, path).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(TELLS)) == 0).agg(F.sum(F.size("sizes")).alias("n")).first()["n"] or 0
+    least = max(total // COMMON, 16)
+    found = some.groupBy("digest").count().where(F.col("count") > least).select("digest").collect()
+    return spark.createDataFrame([(bytes(r["digest"]),) for r in found], "digest binary") if found else None
+
+
+def used_chunks(spark: SparkSession, path: str, *facts: str) -> DataFrame:
+    """Every use of a chunk with the chunk's ``facts`` (null where the store has no such chunk). Common chunks, few by definition, are broadcast."""
+    often, every = common(spark, path), uses(spark, path)
+    if often is None:
+        return every.join(chunks(spark, path).select("digest", *facts), "digest", "left")
+    known = often.join(chunks(spark, path, often).select("digest", *facts), "digest", "left")
+    rest = every.join(F.broadcast(often), "digest", "left_anti").join(chunks(spark, path).select("digest", *facts), "digest", "left")
+    return rest.unionByName(every.join(F.broadcast(known), "digest"))
+
+
 #: x ** 32 mod the CRC polynomial and so on: CRCs of joined data follow from those of the parts.
 POLYNOMIAL = 0xEDB88320
 
@@ -236,8 +261,7 @@ def shifts(most: int) -> np.ndarray:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the store's files: doc_id, start, n_tokens and CRC-32 of its ids as little-endian unsigned 32-bit integers."""
     sound(spark, path)
-    facts = chunks(spark, path).select("digest", "size", "crc")
-    found = uses(spark, path).join(facts, "digest", "left")
+    found = used_chunks(spark, path, "size", "crc")
     # documents are told apart by start as well: ids may repeat, and every document has its end id
     lists = found.groupBy("part", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "size", "crc"))).alias("parts"))
     table = shifts(MOST)
@@ -267,12 +291,15 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """The documents' ids themselves: doc_id, start, n_tokens, ids (array of int), put together from recipes and chunks."""
     sound(spark, path)
-    found = uses(spark, path).join(chunks(spark, path).select("digest", "payload"), "digest")
+    found = used_chunks(spark, path, "payload")
     lists = found.groupBy("part", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([ids_of(p["payload"]) for p in parts]).astype(np.int32) for parts in batch.column("parts").to_pylist()]
+            lists = batch.column("parts").to_pylist()
+            if any(p["payload"] is None for parts in lists for p in parts):
+                raise ValueError("a recipe names a chunk that is not in the store")
+            ids = [np.concatenate([ids_of(p["payload"]) for p in parts]).astype(np.int32) for parts in lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
 
     return lists.mapInArrow(tidied(joined), "doc_id long, start long, n_tokens long, ids array<int>")

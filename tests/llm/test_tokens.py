@@ -131,13 +131,17 @@ def test_store_finds_damage(make, spark):
         store.chunks(spark, f"{path}-bad").collect()
 
 
-def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark):
+def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark, monkeypatch):
     from pyspark.sql import functions as F
 
     path = scratch_path(spark, "store-test")
     store.write(make([prose(50, k) for k in range(6)]), path, public_tokenizers.path(FILES[1]))
+    monkeypatch.setattr(store, "COMMON", 1 << 30)
     recipes, rest = store.recipes(spark, path), spark.read.schema(store.WRITTEN).parquet(f"{path}/written")
-    for k, bad in enumerate((recipes.where("doc_id <> 3"), recipes.where("false"), recipes.withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"x")).otherwise(F.col("root"))))):
+    swapped = F.when(F.col("doc_id") == 3, F.lit(4)).when(F.col("doc_id") == 4, F.lit(3)).otherwise(F.col("doc_id")).cast("long")
+    wrong = [recipes.where("doc_id <> 3"), recipes.where("false"), recipes.withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"x")).otherwise(F.col("root")))]
+    wrong += [recipes.unionByName(recipes.where("doc_id = 3")), recipes.withColumn("doc_id", swapped), recipes.withColumn("digests", F.when(F.col("doc_id") == 3, F.reverse("digests").cast("binary")).otherwise(F.col("digests")))]
+    for k, bad in enumerate(wrong):
         rest.write.partitionBy("kind").parquet(f"{path}-{k}/written")
         spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-{k}/manifest")
         bad.write.parquet(f"{path}-{k}/recipes")
@@ -146,6 +150,24 @@ def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark):
                 read(spark, f"{path}-{k}").collect()
 
 
+def test_chunks_that_many_documents_use(make, prose, spark):
+    """A passage in most documents is broadcast; the ids are whole, and one that is lost is missed."""
+    shared, vocabulary, path = prose(900, 1), public_tokenizers.path(FILES[1]), scratch_path(spark, "store-test")
+    texts = [f"{prose(40, k)} {shared}" for k in range(700)]
+    store.write(make(texts), path, vocabulary)
+    often = store.common(spark, path)
+    assert often is not None and 0 < often.count() <= store.COMMON
+    want = {k: (len(ids), zlib.crc32(ids.tobytes())) for k, ids in enumerate(plainly(vocabulary, texts))}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in store.checksums(spark, path).collect()} == want
+    rows = spark.read.schema(store.WRITTEN).parquet(f"{path}/written").join(often.limit(1).withColumnRenamed("digest", "key"), "key", "left_anti")
+    rows.write.partitionBy("kind").parquet(f"{path}-less/written")
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}-less/{part}")
+    for read in (store.checksums, store.restore):
+        with pytest.raises(Exception, match="not in the store"):
+            read(spark, f"{path}-less").collect()
+
+
 def test_store_of_nothing_and_of_repeated_ids(make, spark):
     vocabulary = public_tokenizers.path(FILES[1])
     for items, n in (([], 0), ([(1, "a"), (1, "a"), (1, "b c"), (None, None)], 4)):
