@@ -4,7 +4,7 @@ Only lengths decide a packing and there are at most ``capacity`` of them, so the
 whatever the input) and plans bins for all documents at once: fill a bin greedily, largest first; if a gap is left, replace the
 bin's smallest document by the two unpacked ones that fill the widened gap best. A bin's pattern repeats while its lengths last,
 so the plan is a short list of (copies, lengths). Documents then find their place from their rank within their length: ranks come
-from counts by (length, bucket) and a window within each, with no group larger than a bucket's share of a length.
+from counts by (length, bucket) and a window within each; a length has buckets as its count asks, so no group grows with the input.
 
 Edge cases: a null or empty text is the end id alone; only documents longer than the capacity are cut; rows alike in id, piece and ids
 are interchangeable; a null doc_id is kept; an empty table gives an empty result; extra columns are not read.
@@ -24,8 +24,8 @@ from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidie
 from skeinwork.llm.tokens import encoder, with_end
 
 CAPACITY = 2048
-#: Parts of each length class among which its ranks are counted.
-BUCKETS = 256
+#: Documents of one length that are ranked together (about): a length has as many buckets as that takes.
+RANKED = 1 << 17
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,14 +95,16 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[i
             bin_ += [length] * n
             shelf.take(length, n)
             gap -= n * length
+        tried = []  # the document that gives way
         if gap and len(bin_) > 1:
             smallest = bin_[-1]
             a, b = shelf.best_pair(gap + smallest)
             if a + b > smallest:
-                bin_ = [*bin_[:-1], a, b]
+                bin_, tried = [*bin_[:-1], a, b], [smallest]
         used = np.bincount(bin_, minlength=len(before))
-        kinds = np.flatnonzero(used)
-        copies = int((before[kinds] // used[kinds]).min())
+        kinds, need = np.flatnonzero(used), used.copy()
+        need[tried] += 1  # the same bin comes about again while what was tried for it is there too
+        copies = max(1, int(((before[kinds] - need[kinds]) // used[kinds]).min()) + 1)
         shelf = Shelf(before - copies * used)
         out.append((copies, bin_))
     return out
@@ -124,7 +126,7 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "copies", "sequence", "offset"), table.T, strict=True))
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
     """``parts``: a stored table with doc_id, piece and length (at most the capacity). Adds sequence_id and offset."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in parts.groupBy("length").count().collect():  # at most ``capacity`` rows
@@ -133,11 +135,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     keys = table["length"] << 44 | table["first"]  # ranks stay below 2**44
 
     names = parts.columns
-    rows = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # full pieces of long documents may be most of all rows; the other lengths share a number
+    full, other = (-(-int(n) // ranked) or 1 for n in (counts[capacity], counts[:capacity].max(initial=0)))
+    buckets = F.when(F.col("length") == capacity, full).otherwise(other)
+    rows = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets).cast("int"))
     earlier = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", *[c for c in names if c not in ("doc_id", "piece", "length")])
-    ranked = rows.withColumn("__row", F.row_number().over(within)).join(base.drop("__n"), ["length", "__bucket"]).select(
+    placed = rows.withColumn("__row", F.row_number().over(within)).join(base.drop("__n"), ["length", "__bucket"]).select(
         *names, (F.col("__base") + F.col("__row") - 1).alias("__rank")
     )
     at = names.index("length")
@@ -151,7 +156,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, found)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(tidied(run), schema)
+    return placed.mapInArrow(tidied(run), schema)
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -80,6 +80,47 @@ def test_plan_packs_tightly(seed):
     assert sum(c for c, _ in patterns) <= -(-lengths.sum() // 1000) * 1.02 + 1
 
 
+def plain_packer(lengths, capacity):
+    """Best-two-fit, one document and one bin at a time."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        one, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                one.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(one) > 1:
+            wide = gap + one[-1]
+            pairs = [(left[i] + y, -left[i], left[i], y) for i in range(len(left)) for y in left[i + 1 :] if left[i] + y <= wide]
+            if pairs and (best := max(pairs))[0] > one[-1]:
+                left += [one.pop()]
+                for x in best[2:]:
+                    one.append(x)
+                    left.remove(x)
+                left.sort(reverse=True)
+        bins.append(one)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_is_that_of_a_plain_packer(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.clip(r.geometric(1 / (4 + 2 * seed), 160), 1, 40)
+    got = [bin_ for copies, bin_ in packing.plan(np.bincount(lengths, minlength=41), 40) for _ in range(copies)]
+    assert [sorted(b) for b in got] == [sorted(b) for b in plain_packer(lengths.tolist(), 40)]
+
+
+def test_many_of_one_length_are_ranked_in_buckets(make):
+    import itertools
+
+    path = public_tokenizers.path(FILES[0])
+    parts = packing.stored(packing.pieces(make([(k, "b c " * 9) for k in range(60)] + [(k, "b") for k in range(60, 90)]), path, capacity=8), "pieces")
+    one, two = (packing.pack(parts, 8, n).collect() for n in (1 << 17, 5))
+    assert layout(one, 8) == layout(two, 8) and len(one) == len(two) == len({(r.sequence_id, r.offset) for r in two})
+    assert all(a.length == b.length for a, b in itertools.islice(zip(sorted(one), sorted(two), strict=True), 50))
+
+
 def test_two_fit_beats_greedy():
     counts = np.zeros(11, np.int64)
     counts[[6, 3, 2]] = 1, 1, 2  # greedy: 6 + 3, then 2 + 2; with two for one: 6 + 2 + 2, then 3
