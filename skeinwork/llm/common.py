@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most bytes of text that one Arrow batch brings to a Python worker (a single longer row still travels whole).
 BATCH_BYTES = 4 << 20
@@ -54,6 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is common if more than one in so many rows have it; so there are at most so many such keys.
+COMMON = 4096
+
+
+def joined_evenly(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row a key, stored), where ``count`` is a key's number of rows and ``total`` that of all: common keys, which
+    would each bring a large share of the rows to one task, are broadcast, at most COMMON of them; the others are shuffled. ``count`` is dropped."""
+    often = facts.where(F.col(count) * COMMON > total).drop(count)
+    rest = facts.where(F.col(count) * COMMON <= total).drop(count)
+    return rows.join(F.broadcast(often), keys).unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, so that very long texts cannot pile up in a worker or in the buffers beside the JVM's heap. All operators ask
     for the same bounds, and smaller ones that the session has already stay; so plans may be made in any order."""

@@ -7,14 +7,16 @@ one pair in about two million exceeds 25; none of lower distance is lost). What
 
 1. In each bucket (equal key) every member is compared with the smallest id: one pair per member, not all pairs. Confirmed pairs give
    first components.
-2. Members of different components that share a bucket are still open. They meet in blocks of bounded size, where signatures tell which
-   members have a candidate in another component; the blocks keep those members, one row each.
+2. Members of different components that share a bucket are still open. Those outside the bucket's leading component meet one another and the
+   leading component's members in blocks of bounded size (its own members need not meet), where signatures tell which members have a
+   candidate in another component; the blocks keep those members, one row each.
 3. The full sets come to those blocks, and candidates are confirmed there. One link between a member and a component is enough: more
    would not change the components. So groups of thousands of near copies give thousands of rows, not a row per pair, and no link
    between components is missed.
 
 Edge cases: null texts and texts without words have no shingles, are linked with nothing and are kept; texts of fewer words than a shingle have
-the whole sequence as one; rows that repeat a doc_id count as one document; a null doc_id is linked with nothing and kept; an
+the whole sequence as one; rows that repeat a doc_id count as one document: of different
+texts the one with words whose set's name is least stands for it, and each row keeps the size of its own set; a null doc_id is linked with nothing and kept; an
 empty table gives an empty result; long texts are hashed whole; extra columns are not read.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
+from skeinwork.llm.common import blocks, joined_evenly, stored, text_batches, text_views, tidied
 from skeinwork.llm.components import components
 from skeinwork.llm.lexer import lex
 from skeinwork.llm.shingles import RADIUS, SYMBOLS, chunk_keys, first_shared_key, set_names, shingle_sets, signatures
@@ -63,18 +65,20 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Sorted shingle hashes of the documents named in ``ids``: id, shingles (binary)."""
+    """Sorted shingle hashes of the documents named in ``ids``: id, shingles (binary); of several texts with words those of the least name, as in ``once``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_views(batch.column(1))
             for i, j in blocks(offsets):
                 sets, bounds = shingle_sets(lex(raw, offsets[i : j + 1]), width)
+                s1, s2 = set_names(sets, bounds)
                 parts = [sets[bounds[k] : bounds[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(parts, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s1), pa.array(s2), pa.array(parts, pa.binary())], names=["id", "s1", "s2", "shingles"])
 
     rows = ids_and_texts(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return rows.mapInArrow(tidied(run), "id long, shingles binary")
+    found = rows.mapInArrow(tidied(run), "id long, s1 long, s2 long, shingles binary").where(F.length("shingles") > 0)
+    return found.groupBy("id").agg(F.min_by("shingles", F.struct("s1", "s2")).alias("shingles"))
 
 
 def symbols_of(column: pa.Array) -> np.ndarray:
@@ -131,15 +135,21 @@ def bucketed(reps: DataFrame) -> DataFrame:
 
 
 def open_blocks(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Blocks of buckets of several components: key, lo, hi, mine (the member's part of its bucket), id; members without a candidate are left out."""
-    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("strength")), "component")
-    placed = buckets.select("key", "id", "members").join(sized, "id")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    """Blocks of buckets of several components: key, lo, hi, mine (the member's part of its bucket), id; members without a candidate are left out.
+
+    Of a bucket the members outside its leading component have parts 0 .. few - 1, those of the leading one few .. few + many - 1. Every two parts of
+    the first kind meet, and each of these meets each of the second kind: a bucket with few stray members costs about a row a member.
+    """
+    placed = buckets.select("key", "id").join(labels, "id")
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select(
+        "key", F.col("top.component").alias("leading"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK_ROWS).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK_ROWS).cast("int").alias("many")
+    )
     rows = placed.join(mixed, "key").join(reps.select("id", "n", "signature"), "id")
-    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "component", "strength", "n", "signature")
+    stray, h = F.col("component") != F.col("leading"), F.xxhash64("id")
+    rows = rows.withColumn("mine", F.when(stray, F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("many"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(stray, F.col("many")).otherwise(0))))
+    rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "component", "n", "signature")
     names = ["key", "lo", "hi", "mine", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +186,14 @@ def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
 
 
 def candidates(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (member of the smaller component, member of the larger) with near signatures that meet first under this key."""
+    """Pairs of rows with near signatures that meet first under this key: a member of the component with fewer members in the block, and one of the other."""
     component = block.column("component").to_numpy()
     none = np.zeros(0, np.int64)
     if (component == component[0]).all():
         return none, none
-    strength, size, mine = (block.column(c).to_numpy() for c in ("strength", "n", "mine"))
+    size, mine = (block.column(c).to_numpy() for c in ("n", "mine"))
+    _, back, members = np.unique(component, return_inverse=True, return_counts=True)
+    strength = members[back]
     symbols = symbols_of(block.column("signature").combine_chunks())
     column = block.column("key")[0].as_py() & 63
     apart = block.column("lo")[0].as_py() != block.column("hi")[0].as_py()
@@ -205,8 +217,7 @@ def candidates(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def late_links(open_rows: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) in open blocks: at most one for a member and a component that it is held against."""
-    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("strength")), "component")
-    rows = open_rows.join(reps.select("id", "n", "signature"), "id").join(sized, "id").join(sets, "id")
+    rows = open_rows.join(reps.select("id", "n", "signature"), "id").join(labels, "id").join(sets, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_group(batches, ("key", "lo", "hi")):
@@ -240,15 +251,21 @@ def confirmed_links(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def once(signs: DataFrame) -> DataFrame:
+    """One row for each doc_id that has a text with words: doc_id, s1, s2, n_shingles, signature, those of the least name."""
+    least = signs.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n_shingles", "signature")).alias("x"))
+    return least.select("doc_id", "x.*")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     signs = stored(signed(docs, width), "signatures")
-    classes = stored(
-        signs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes"
-    )
+    single = stored(once(signs), "documents")
+    name = ["s1", "s2", "n_shingles"]
+    classes = stored(single.groupBy(*name).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.count("*").alias("members")), "classes")
     reps = classes.select("id", F.col("n_shingles").alias("n"), "signature")
     buckets = stored(bucketed(reps), "buckets")
-    sets = stored(full_sets(docs, buckets.select("id").distinct(), width).dropDuplicates(["id"]), "sets")
+    sets = stored(full_sets(docs, buckets.select("id").distinct(), width), "sets")
 
     stars = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirmed(near_pairs(stars, reps, percent), sets, percent), "links")
@@ -259,11 +276,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     late = late_links(stored(open_blocks(buckets, reps, labels, percent), "open"), reps, labels, sets, percent)
     joined = components(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
 
-    # a null doc_id meets no class: its s1 is null here
-    own = signs.withColumn("s1", F.when(F.col("doc_id").isNotNull(), F.col("s1")))
-    found = own.join(classes.drop("signature"), ["s1", "s2", "n_shingles"], "left").join(joined, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = stored(classes.join(joined, "id", "left").select(*name, "members", F.coalesce("component", "id").alias("component_id")), "named")
+    total = named.agg(F.sum("members").alias("n")).first()["n"] or 0
+    found = joined_evenly(single.drop("signature"), named, name, "members", total).select("doc_id", "component_id")
+    # rows without words or id, which may be many, meet nothing
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    result = lambda df, c: df.select("doc_id", "n_shingles", c.alias("component_id"), F.col("doc_id").eqNullSafe(c).alias("kept"))
+    return result(signs.where(~alone).join(found, "doc_id"), F.col("component_id")).unionByName(result(signs.where(alone), F.col("doc_id")))
 
 
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -85,6 +85,32 @@ def test_repeated_rows_and_empty_table(make):
     assert N.groups(make([])).collect() == [] and N.kept_documents(make([])).collect() == []
 
 
+def test_an_id_with_several_texts(make, prose):
+    """It counts with one of its texts, the same one whatever the order of the rows; each row keeps the size of its own set."""
+    one, two = prose(60, 3), prose(80, 4)
+    items = [(4, one), (4, two), (4, ""), (7, one), (8, two), (9, prose(50, 9))]
+    for order in (items, items[::-1]):
+        got = N.groups(make(order).repartition(3)).collect()
+        component = {r.doc_id: r.component_id for r in got}
+        assert all(r.component_id in ((4, component[4]) if r.doc_id == 4 else (component[r.doc_id],)) for r in got)
+        assert component[9] == 9 and sorted((component[7], component[8])) in ([4, 7], [4, 8])
+        assert sorted(r.n_shingles for r in got if r.doc_id == 4) == [0, 56, 76]
+        first = first if order is not items else sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    assert first == sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+
+
+def test_a_large_group_with_few_strays_costs_a_row_a_member(make, prose, spark, monkeypatch):
+    """Rows of the open blocks: linear where almost all members are of one component."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    ids = range(400)
+    buckets = spark.createDataFrame([(64, k) for k in ids], "key long, id long")
+    labels = spark.createDataFrame([(k, 0 if k < 397 else k) for k in ids], "id long, component long")
+    signature = bytes(2 * S.SYMBOLS)
+    reps = spark.createDataFrame([(k, 50, signature) for k in ids], "id long, n long, signature binary")
+    rows = N.open_blocks(buckets, reps, labels, 80).collect()
+    assert {r.id for r in rows} == set(ids) and len(rows) <= 400 + 3 * 26
+
+
 def test_a_null_id_is_linked_with_nothing(make, prose):
     text = prose(60, 3)
     got = N.groups(make([(None, text), (None, text), (7, text), (9, text), (None, None)])).collect()
