@@ -1,4 +1,4 @@
-"""Public license texts and notices to scan for. Name -> text."""
+"""Public license texts, file headers, one-line notices and SPDX tags to scan for. Name -> text."""
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
 "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
@@ -39,19 +39,76 @@ it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty o
 General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see
 https://www.gnu.org/licenses/."""
 
+_GPL2_HEADER = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+General Public License for more details."""
+
+_LGPL_HEADER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published
+by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Lesser General Public License for more details."""
+
+_AGPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Affero General Public License for more details."""
+
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In
+jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that
+you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not
+required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may
+not be removed or altered from any source distribution."""
+
+_BOOST = """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt"""
+
+_CC0 = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."""
+
+# Identifiers of the SPDX license list.
+SPDX = """MIT ISC Zlib Unlicense 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 EPL-2.0 BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 GPL-2.0-only
+GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later""".split()
+
 TEMPLATES = {
     "MIT": _MIT,
     "MIT notice": "Released under the MIT License.",
     "ISC": _ISC,
     "BSD-2-Clause": f"{_BSD_HEAD} {_BSD_TAIL}",
     "BSD-3-Clause": f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}",
+    "Unlicense": _UNLICENSE,
+    "Zlib": _ZLIB,
+    "CC0-1.0 waiver": _CC0,
     "Apache-2.0 header": _APACHE_HEADER,
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
+    "MPL-2.0 header": _MPL_HEADER,
+    "BSL-1.0 header": _BOOST,
     "GPL-3.0 header": _GPL_HEADER,
+    "GPL-2.0 header": _GPL2_HEADER,
+    "LGPL-2.1 header": _LGPL_HEADER,
+    "AGPL-3.0 header": _AGPL_HEADER,
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
     "All rights reserved": "All rights reserved.",
-}
+} | {f"{name} tag": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
+# Words that tell one license from another. In headers, notices and tags they must be the template's, in its order, with none between.
+DECIDING = """mit isc bsd 0bsd apache mozilla mpl epl eclipse boost bsl zlib unlicense gpl lgpl agpl lesser library affero cc cc0 by nc nd sa only later
+0 1 2 3 4 5 v1 v2 v3""".split()

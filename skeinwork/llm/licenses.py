@@ -3,10 +3,11 @@
 Template and text are sequences of lower-case words (letters and digits; other ASCII separates). Winnowing keeps the least hash of every
 window of neighbouring word trigrams, so any run of ``GRAM + WINDOW - 1`` words that a text shares with a template gives a common
 fingerprint; templates shorter than that put all their trigrams into an index of their own, which is held against all of a text's.
-Hits of a template at about the same diagonal (place in the text less place in the template) are a candidate. A banded alignment
-around the diagonal gives the template words matched and the span of the text, for every copy in the candidate: short notices that follow one another
-have diagonals so near that they are one candidate. Spans below the coverage asked for are dropped, and of overlapping ones the one with the
-most matched words stays.
+Hits of a template at about the same diagonal (place in the text less place in the template) are a candidate, if enough of the template's words are
+there at all. A banded alignment around the diagonal gives the template words matched and the span of the text, for every copy in the
+candidate: short notices that follow one another have diagonals so near that they are one candidate. Spans below the coverage asked for are dropped,
+and so are those of headers, notices and tags whose deciding words (version numbers, "lesser", "nc" and the like) are not the template's. Of
+overlapping spans the one with the most matched words stays, then that of the greater coverage, then that of the template listed first.
 
 Edge cases: null and empty texts match nothing; texts are scanned whole; a template that occurs several times is reported each time; rows that
 repeat are reported each; an empty table gives an empty result; extra columns are not read. Spans are in code points, end exclusive.
@@ -14,9 +15,9 @@ repeat are reported each; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm.common import blocks, text_batches, text_views, tidied
 from skeinwork.llm.lexer import Lexed, lex, windows
-from skeinwork.llm.license_texts import TEMPLATES
+from skeinwork.llm.license_texts import DECIDING, TEMPLATES
 
 #: Words of a fingerprint, neighbouring fingerprints of which one is kept, diagonals that a candidate may spread over, least coverage.
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 12, 0.8
@@ -62,7 +63,9 @@ class Index:
     """Fingerprints of the templates: hash -> (template, place)."""
 
     def __init__(self, templates: dict[str, str]) -> None:
-        self.names, self.words = list(templates), []
+        self.names, self.words, self.strict = list(templates), [], [name.endswith((" header", " notice", " tag")) for name in templates]
+        data = " ".join(DECIDING).encode()
+        self.deciding = set(words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1].tolist())
         kept: dict[bool, list[tuple[int, int, int]]] = {True: [], False: []}
         for k, text in enumerate(templates.values()):
             data = np.frombuffer(text.encode(), np.uint8)
@@ -74,6 +77,9 @@ class Index:
             kept[short] += [(int(grams[i]), k, int(at[i])) for i in chosen]
         self.tables = {short: self.table(rows) for short, rows in kept.items()}
 
+    def decided(self, words: list[int]) -> list[int]:
+        return [w for w in words if w in self.deciding]
+
     @staticmethod
     def table(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = sorted(rows)
@@ -114,15 +120,28 @@ def alignments(template: list[int], text: list[int], diagonal: int, band: int, l
     return out
 
 
-def copies(template: list[int], text: list[int], diagonal: int, band: int, least: int, hits: list[int]) -> list[tuple[int, int, int]]:
-    """Matched words, first and last + 1 word of alignments that don't overlap: the best ones first, then those in what these leave of the text, until
-    no hit (words of the text, in order) is left that another one could cover."""
+def complete(template: list[int], words: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Which of the ranges of words hold so many of the template's words, repeats counted up to the template's, that ``least`` could be matched."""
+    order = np.argsort(words, kind="stable")
+    ordered, found = words[order], np.zeros(len(starts), np.int64)
+    for word, n in Counter(template).items():
+        a, b = np.searchsorted(ordered, np.uint64(word), "left"), np.searchsorted(ordered, np.uint64(word), "right")
+        at = order[a:b]
+        found += np.minimum(n, np.searchsorted(at, ends, "left") - np.searchsorted(at, starts, "left"))
+    return found >= least
+
+
+def copies(
+    template: list[int], text: list[int], diagonal: int, band: int, least: int, hits: list[int], sound: Callable[[list[int]], bool] = lambda words: True
+) -> list[tuple[int, int, int]]:
+    """Matched words, first and last + 1 word of ``sound`` alignments that don't overlap: the best ones first, then those in what these leave of the
+    text, until no hit (words of the text, in order) is left that another one could cover."""
     out, todo = [], [(0, len(text))]
     while todo:
         begin, end = todo.pop()
         covered, kept = bytearray(end - begin), []
         for _, matched, a, b in sorted(alignments(template, text[begin:end], diagonal - begin, band, least), key=lambda x: (-x[0], -x[1], x[2])):
-            if not any(covered[a:b]):
+            if not any(covered[a:b]) and sound(text[begin + a : begin + b]):
                 covered[a:b] = b"\1" * (b - a)
                 kept.append((begin + a, begin + b, matched))
         kept.sort()
@@ -142,6 +161,17 @@ def found_in(index: Index, lexed: Lexed, words: np.ndarray, coverage: float) ->
     if not len(template):
         return []
     row, diagonal = lexed.doc[word], word - place
+    size = np.array([len(w) for w in index.words])
+    least = np.maximum(1, np.ceil(coverage * size - 1e-9).astype(np.int64))
+    # of repetitive texts most hits go here, in a few array passes
+    low, high = np.maximum(lexed.first[row], diagonal - BAND), np.minimum(lexed.first[row + 1], diagonal + size[template] + BAND)
+    able = np.zeros(len(row), bool)
+    for k in np.unique(template):
+        own = np.flatnonzero(template == k)
+        able[own] = complete(index.words[k], words, low[own], high[own], int(least[k]))
+    row, template, diagonal, word = row[able], template[able], diagonal[able], word[able]
+    if not len(row):
+        return []
     order = np.lexsort((diagonal, template, row))
     row, template, diagonal, word = row[order], template[order], diagonal[order], word[order]
     new = np.ones(len(row), bool)
@@ -153,8 +183,9 @@ def found_in(index: Index, lexed: Lexed, words: np.ndarray, coverage: float) ->
         known = index.words[t]
         begin = max(int(lexed.first[r]), low - BAND)
         end = min(int(lexed.first[r + 1]), high + len(known) + BAND)
-        hits, least = sorted(set((word[a:b] - begin).tolist())), max(1, math.ceil(coverage * len(known)))
-        for matched, first, last in copies(known, words[begin:end].tolist(), (low + high) // 2 - begin, BAND + (high - low + 1) // 2, least, hits):
+        hits, wanted = sorted(set((word[a:b] - begin).tolist())), index.decided(known)
+        sound = (lambda some, wanted=wanted: index.decided(some) == wanted) if index.strict[t] else lambda some: True
+        for matched, first, last in copies(known, words[begin:end].tolist(), (low + high) // 2 - begin, BAND + (high - low + 1) // 2, int(least[t]), hits, sound):
             out.setdefault(r, []).append((matched, matched / len(known), -t, begin + first, begin + last))
     result = []
     for r, many in out.items():
