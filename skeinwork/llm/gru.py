@@ -18,7 +18,7 @@ import numpy as np
 STATE, EMBED, WORDS, SINGLES, FORMS = 24, 16, 2048, 48, 48
 CODES, CLASSES = WORDS + FORMS, SINGLES + FORMS
 #: Steps of a window in training and in scoring, rows that move together in scoring, and columns of the class softmax that are taken together.
-STEPS, WINDOW, LANES, COLUMNS = 32, 64, 256, 2048
+STEPS, WINDOW, LANES, COLUMNS = 32, 64, 512, 2048
 #: In training a document is read in parts of so many tokens, each from a fresh state, so that a very long one doesn't leave lanes idle.
 PART = 2048
 Params = dict[str, np.ndarray]
@@ -106,18 +106,19 @@ def starts(doc: np.ndarray) -> np.ndarray:
     return new
 
 
-def halved(x: np.ndarray, axis: int) -> np.ndarray:
-    """Gates' inputs times a half: a logistic gate is (tanh of half its input + 1) / 2."""
+def turned(x: np.ndarray) -> np.ndarray:
+    """Gates' inputs (the first two thirds of the last axis) with the other sign: a gate is 1 / (1 + exp of that)."""
     x = x.copy()
-    x[(slice(None),) * axis + (slice(0, 2 * STATE),)] *= 0.5
+    x[..., : 2 * STATE] *= -1
     return x
 
 
+@np.errstate(over="ignore")  # a gate that is 0 then
 def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By step: states before it, the recurrent product (its first two thirds become the gates), candidates and states after it (unit, lane)."""
     steps, lanes = read.shape
-    a = np.take(halved(p["E"] @ p["W"] + p["b"], 1).T, read, axis=1)
-    R = np.ascontiguousarray(halved(p["R"], 1).T)
+    a = np.take(turned(p["E"] @ p["W"] + p["b"]).T, read, axis=1)
+    R = np.ascontiguousarray(turned(p["R"]).T)
     before, product, candidate, after = (np.empty((steps, n, lanes), h.dtype) for n in (STATE, 3 * STATE, STATE, STATE))
     some = new.any(axis=1)
     for k in range(steps):
@@ -128,9 +129,9 @@ def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> t
         np.matmul(R, before[k], out=u)
         g = u[: 2 * STATE]
         g += a[: 2 * STATE, k]
-        np.tanh(g, out=g)
+        np.exp(g, out=g)
         g += 1
-        g *= 0.5
+        np.reciprocal(g, out=g)
         np.multiply(g[STATE:], u[2 * STATE :], out=n)
         n += a[2 * STATE :, k]
         np.tanh(n, out=n)

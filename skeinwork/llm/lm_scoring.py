@@ -37,7 +37,7 @@ from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix, row_sums
 #: Most frequent words whose counts every task gets.
 HEAD = 1 << 18
 #: Training tokens of a shard (about), how often at most the first one, where it is small, is read to begin with, and tokens that are laid out in lanes together.
-SHARD, EPOCHS, TOGETHER = 1 << 21, 8, 1 << 19
+SHARD, EPOCHS, TOGETHER = 1 << 20, 8, 1 << 19
 #: Step sizes and lanes of the beginning and of the shards.
 FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.006, 64, 256
 END = np.uint64(0x5EAF00D5EAF00D11)
@@ -219,7 +219,7 @@ def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = [d for batch in batches for d in documents_of(batch.column(2))]
         trainer, size = gru.Trainer(params, words.output, words.end), sum(map(len, docs))
-        for _ in range(min(EPOCHS, max(1, shard // size)) if docs else 0):
+        for _ in range(min(EPOCHS, max(1, 2 * shard // size)) if docs else 0):
             for group in together(iter(docs)):
                 with steady_heap():
                     trainer.fit(group, FIRST_RATE, FIRST_LANES)

@@ -35,7 +35,7 @@ from skeinwork.llm.lexer import lex
 from skeinwork.llm.shingles import RADIUS, SYMBOLS, chunk_keys, first_shared_key, set_names, shingle_sets, signatures
 
 #: A larger bucket is cut into parts of about so many members, and every two parts meet as a block.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 #: Pairs of signatures that are compared in one array operation.
 PAIRS = 1 << 15
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, signature binary"
