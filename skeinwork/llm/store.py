@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import blocks, text_batches, text_views, tidied
+from skeinwork.llm.common import blocks, stored, text_batches, text_views, tidied
 from skeinwork.llm.lexer import mix
 from skeinwork.llm.tokens import encoder, with_end
 
@@ -175,8 +175,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> None:
     parts_of(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
-def chunks(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
-    """Every stored chunk (or those in ``only``, a bounded table of digests): digest, size, crc and payload; raises where a payload does not match its digest."""
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored chunk: digest, size, crc and payload; raises where a payload does not match its digest."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,42 +190,46 @@ def chunks(spark: SparkSession, path: str, only: DataFrame | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(crc, pa.int64())], names=["digest", "payload", "size", "crc"])
 
     text_batches(spark)
-    stored = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
-    stored = stored if only is None else stored.join(F.broadcast(only), "digest", "left_semi")
-    return stored.mapInArrow(tidied(verified), "digest binary, payload binary, size int, crc long")
+    kept = spark.read.schema(WRITTEN).parquet(f"{path}/written").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
+    return kept.mapInArrow(tidied(verified), "digest binary, payload binary, size int, crc long")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
 
-def uses(spark: SparkSession, path: str) -> DataFrame:
-    """One row per chunk of every recipe, in two steps so that rows stay small: part, doc_id, start, seq, digest."""
+def each_use(rows: DataFrame) -> DataFrame:
+    """One row per chunk of every recipe: part, doc_id, start, n_tokens, seq, digest."""
     digests = F.expr(f"transform(sequence(1, size(sizes)), i -> substring(digests, (i - 1) * {DIGEST} + 1, {DIGEST}))")
-    return recipes(spark, path).select("part", "doc_id", "start", "n_tokens", F.posexplode(digests).alias("seq", "digest"))
+    return rows.select("part", "doc_id", "start", "n_tokens", F.posexplode(digests).alias("seq", "digest"))
+
+
+def uses(spark: SparkSession, path: str) -> DataFrame:
+    return each_use(recipes(spark, path))
 
 
-#: Documents, by a hash, of which one in so many tells the common chunks; those that make more than one in COMMON of their uses, so at most COMMON.
-TELLS, COMMON = 16, 4096
+#: Documents, by a hash, of which one in so many tells the common chunks; those that make more than one in COMMON of their uses, so at most COMMON;
+#: and the tasks over which the uses of each are dealt.
+TELLS, COMMON, SALTS = 16, 4096, 64
 
 
-def common(spark: SparkSession, path: str) -> DataFrame | None:
+def common(spark: SparkSession, path: str) -> DataFrame:
     """Digests that would each bring a large share of all uses to one task of a join. Which they are has no part in any result."""
-    some = uses(spark, path).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(TELLS)) == 0)
-    total = recipes(spark, path).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(TELLS)) == 0).agg(F.sum(F.size("sizes")).alias("n")).first()["n"] or 0
-    least = max(total // COMMON, 16)
-    found = some.groupBy("digest").count().where(F.col("count") > least).select("digest").collect()
-    return spark.createDataFrame([(bytes(r["digest"]),) for r in found], "digest binary") if found else None
+    some = recipes(spark, path).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(TELLS)) == 0)
+    total = some.agg(F.sum(F.size("sizes")).alias("n")).first()["n"] or 0
+    counts = each_use(some).groupBy("digest").count()
+    return stored(counts.where(F.col("count") > max(total // COMMON, 16)).select("digest"), "common-chunks")
 
 
 def used_chunks(spark: SparkSession, path: str, *facts: str) -> DataFrame:
-    """Every use of a chunk with the chunk's ``facts`` (null where the store has no such chunk). Common chunks, few by definition, are broadcast."""
-    often, every = common(spark, path), uses(spark, path)
-    if often is None:
-        return every.join(chunks(spark, path).select("digest", *facts), "digest", "left")
-    known = often.join(chunks(spark, path, often).select("digest", *facts), "digest", "left")
-    rest = every.join(F.broadcast(often), "digest", "left_anti").join(chunks(spark, path).select("digest", *facts), "digest", "left")
-    return rest.unionByName(every.join(F.broadcast(known), "digest"))
+    """Every use of a chunk with the chunk's ``facts`` (null where the store has no such chunk). A common chunk is there several times, its uses dealt among
+    those."""
+    often = F.broadcast(common(spark, path).withColumn("often", F.lit(True)))
+    place = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    every = uses(spark, path).join(often, "digest", "left").withColumn("salt", place).drop("often")
+    places = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = chunks(spark, path).select("digest", *facts).join(often, "digest", "left").withColumn("salt", F.explode(places)).drop("often")
+    return every.join(known, ["digest", "salt"], "left").drop("salt")
 
 
 #: x ** 32 mod the CRC polynomial and so on: CRCs of joined data follow from those of the parts.

@@ -172,12 +172,11 @@ def test_store_finds_damage(make, spark):
         store.chunks(spark, f"{path}-bad").collect()
 
 
-def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark, monkeypatch):
+def test_reading_misses_a_lost_or_changed_recipe(make, prose, spark):
     from pyspark.sql import functions as F
 
     path = scratch_path(spark, "store-test")
     store.write(make([prose(50, k) for k in range(6)]), path, public_tokenizers.path(FILES[1]))
-    monkeypatch.setattr(store, "COMMON", 1 << 30)
     recipes, rest = store.recipes(spark, path), spark.read.schema(store.WRITTEN).parquet(f"{path}/written")
     swapped = F.when(F.col("doc_id") == 3, F.lit(4)).when(F.col("doc_id") == 4, F.lit(3)).otherwise(F.col("doc_id")).cast("long")
     wrong = [recipes.where("doc_id <> 3"), recipes.where("false"), recipes.withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"x")).otherwise(F.col("root")))]
@@ -197,7 +196,7 @@ def test_chunks_that_many_documents_use(make, prose, spark):
     texts = [f"{prose(40, k)} {shared}" for k in range(700)]
     store.write(make(texts), path, vocabulary)
     often = store.common(spark, path)
-    assert often is not None and 0 < often.count() <= store.COMMON
+    assert 0 < often.count() <= store.COMMON
     want = {k: (len(ids), zlib.crc32(ids.tobytes())) for k, ids in enumerate(plainly(vocabulary, texts))}
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in store.checksums(spark, path).collect()} == want
     rows = spark.read.schema(store.WRITTEN).parquet(f"{path}/written").join(often.limit(1).withColumnRenamed("digest", "key"), "key", "left_anti")
