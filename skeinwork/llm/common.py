@@ -77,18 +77,6 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving freed memory back to the system at its end: workers live on, and share their executor's memory."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return wrapped
-
-
 @contextlib.contextmanager
 def steady_heap(most: int = 32 << 20, after: int = 1 << 20) -> Iterator[None]:
     """Keep freed memory in the process meanwhile: where arrays of the same sizes come and go, mapping them anew each time costs a third of the time."""
@@ -106,6 +94,22 @@ def steady_heap(most: int = 32 << 20, after: int = 1 << 20) -> Iterator[None]:
             libc.mallopt(mmap, after)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches], steady: bool = False) -> Callable[[Batches], Batches]:
+    """``run``, giving freed memory back to the system at its end: workers live on, and share their executor's memory. ``steady``: not before its end."""
+
+    def wrapped(batches: Batches) -> Batches:
+        with steady_heap() if steady else contextlib.nullcontext():
+            yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column, without making Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -37,9 +37,9 @@ from skeinwork.llm.lexer import LOWER, U, Lexed, lex, mix, row_sums
 #: Most frequent words whose counts every task gets.
 HEAD = 1 << 18
 #: Training tokens of a shard (about), how often at most the first one, where it is small, is read to begin with, and tokens that are laid out in lanes together.
-SHARD, EPOCHS, TOGETHER = 1 << 20, 8, 1 << 19
+SHARD, EPOCHS, TOGETHER = 1 << 21, 8, 1 << 19
 #: Step sizes and lanes of the beginning and of the shards.
-FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.006, 64, 256
+FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.006, 64, 512
 END = np.uint64(0x5EAF00D5EAF00D11)
 #: Distinct words that a task gathers before it sends their counts on, and numbers of means of the shards' models.
 GATHER, MEANS = 1 << 18, (256, 16, 1)
@@ -94,7 +94,7 @@ def counted(docs: DataFrame) -> DataFrame:
         if ends:
             yield rows(np.array([END]), np.array([0]), np.array([ends]))
 
-    rows = texts(docs).where("not held_out").select("text").mapInArrow(tidied(run), "word long, form int, n long")
+    rows = texts(docs).where("not held_out").select("text").mapInArrow(tidied(run, steady=True), "word long, form int, n long")
     return rows.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
@@ -190,7 +190,7 @@ def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 row += j - i
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "hash", "n_tokens", "n_known", "base", "late", "codes", "rare", "times"])
 
-    return texts(docs).select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(tidied(run), CODED)
+    return texts(docs).select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(tidied(run, steady=True), CODED)
 
 
 def documents_of(column: pa.Array) -> list[np.ndarray]:
@@ -219,7 +219,7 @@ def fitted(rows: DataFrame, words: Vocabulary, shard: int = SHARD) -> gru.Params
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = [d for batch in batches for d in documents_of(batch.column(2))]
         trainer, size = gru.Trainer(params, words.output, words.end), sum(map(len, docs))
-        for _ in range(min(EPOCHS, max(1, 2 * shard // size)) if docs else 0):
+        for _ in range(min(EPOCHS, max(1, shard // size)) if docs else 0):
             for group in together(iter(docs)):
                 with steady_heap():
                     trainer.fit(group, FIRST_RATE, FIRST_LANES)
