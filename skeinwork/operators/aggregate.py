@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from skeinwork.functions import column, quantile_share, test
 from skeinwork.model import AGGREGATES, ROLLING, Aggregate
+from skeinwork.operators.ranges import as_double, orderable, ranged
+from skeinwork.operators.transform import globally_ranked
 from skeinwork.parse import Call, Expr, Number, Star
 
 
@@ -49,8 +52,13 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
     for k, call in enumerate(quantiles):
         # neighbours by row number: a window sorts with spilling, whatever the group's size
         value = column(argument(call), F.col)
-        group = Window.partitionBy(*dims)
-        row, size = F.row_number().over(group.orderBy(value.asc_nulls_last())), F.count(value).over(group)
+        if dims:
+            group = Window.partitionBy(*dims)
+            row, size = F.row_number().over(group.orderBy(value.asc_nulls_last())), F.count(value).over(group)
+        else:  # over all rows: places are ranks, dealt over ranges; the count is one row
+            sizes = df.agg(F.count(value).alias(f"__size{k}"))
+            df = globally_ranked(df, Call("row_number", (argument(call),)), f"__row{k}").crossJoin(F.broadcast(sizes))
+            row, size = F.col(f"__row{k}"), F.col(f"__size{k}")
         share = quantile_share(call)
         if call.name == "quantile_weibull":
             place = F.least(F.greatest(F.lit(share) * (size + 1), F.lit(1.0)), size.cast("double"))
@@ -73,12 +81,12 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
 def rolled(df: DataFrame, dims: list[str], partition: tuple[str, ...], calls: list[Expr], names: list[str]) -> DataFrame:
     """Rolling functions over the rows in the order of all dims; without ``partition`` frames cross group borders.
 
-    An unpartitioned window would bring all rows to one task. Instead the first dim's values are the partitions, and each gets a
-    halo: the last n rows before it. Those are found among the last n rows of every value, few rows that may be sorted together.
+    An unpartitioned window would bring all rows to one task. Instead the first dim's values, or ranges of them, are the partitions, and each gets a
+    halo: the last n rows before it. Those are found among the last n rows of every partition, few rows that may be sorted together.
     """
     widths = [int(c.args[1].text) if len(c.args) > 1 and isinstance(c.args[1], Number) else 1 for c in calls]
     order = [F.col(d).asc_nulls_last() for d in dims]
-    halo = not partition and len(dims) > 1
+    halo = not partition and (len(dims) > 1 or orderable(df.schema[dims[0]].dataType))
     if halo:
         df = with_halo(df, dims, max(widths))
     window = Window.partitionBy(*(["__group"] if halo else partition)).orderBy(*order)
@@ -92,13 +100,18 @@ def rolled(df: DataFrame, dims: list[str], partition: tuple[str, ...], calls: li
 
 
 def with_halo(df: DataFrame, dims: list[str], most: int) -> DataFrame:
-    """``df`` with, for each value of the first dim, copies of the ``most`` rows before it; __own tells rows from copies, __group the value served."""
-    first = dims[0]
+    """``df`` with, for each group, copies of the ``most`` rows before it; __own tells rows from copies, __group the group served. A group is a value of
+    the first dim if that is a date or a text, and a range of its values if it is a number or a time, which may be of as many values as rows."""
+    names, kind = df.columns, df.schema[dims[0]].dataType
+    if orderable(kind) and (len(dims) == 1 or not isinstance(kind, DateType)):
+        df = ranged(df, as_double(F.col(dims[0]), kind), "__part")
+    else:
+        df = df.withColumn("__part", F.col(dims[0]))
     order = [F.col(d).asc_nulls_last() for d in dims]
     back = [F.col(d).desc_nulls_first() for d in dims]
-    tails = df.withColumn("__r", F.row_number().over(Window.partitionBy(first).orderBy(*back))).where(F.col("__r") <= most).drop("__r")
+    tails = df.withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*back))).where(F.col("__r") <= most).drop("__r")
     tails = tails.withColumn("__i", F.row_number().over(Window.orderBy(*order)))
-    groups = tails.groupBy(F.col(first).alias("__g")).agg(F.min("__i").alias("__from"))
+    groups = tails.groupBy(F.col("__part").alias("__g")).agg(F.min("__i").alias("__from"))
     wanted = groups.where("__from > 1").select("__g", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__from") - most), F.col("__from") - 1)).alias("__i"))
-    halo = tails.join(wanted, "__i").select(*df.columns, F.col("__g").alias("__group"), F.lit(False).alias("__own"))
-    return df.select(*df.columns, F.col(first).alias("__group"), F.lit(True).alias("__own")).unionByName(halo)
+    halo = tails.join(wanted, "__i").select(*names, F.col("__g").alias("__group"), F.lit(False).alias("__own"))
+    return df.select(*names, F.col("__part").alias("__group"), F.lit(True).alias("__own")).unionByName(halo)

@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from skeinwork.functions import column, test
 from skeinwork.model import RANKS, Transform, dim_name
+from skeinwork.operators.ranges import as_double, orderable, ranged
 from skeinwork.parse import Call, Expr, expression
 
 
@@ -23,27 +23,20 @@ def ranked(call: Call, partition: tuple[str, ...]) -> Column:
     return (F.rank() if call.name.startswith("rank") else F.row_number()).over(window).cast("long")
 
 
-#: Value ranges over which a rank without partition is dealt.
-RANGES = 4096
-
-
 def globally_ranked(df: DataFrame, call: Call, name: str) -> DataFrame:
     """``df`` with a rank over all its rows. One window would sort everything in one task; here rows go to ranges of the value, ranked within,
     and the rows of the ranges before are added: a range's count is all that the ranges need to know of each other."""
-    value = column(call.args[0], F.col).cast("double")
+    value = column(call.args[0], F.col)
+    value = as_double(value, df.select(value).schema[0].dataType)
     down = call.name.endswith("_desc")
-    kind, inf = call.name.removesuffix("_desc"), float("inf")
+    kind = call.name.removesuffix("_desc")
     more = [column(a, F.col) for a in (call.args[2:] if kind == "ntile" else call.args[1:] if kind == "row_number" else ())]
-    finite = F.when(F.abs(value) < inf, value)
-    df = df.withColumn("__v", value).withColumn("__f", finite)
-    ends = df.agg(F.min("__f").alias("__lo"), F.max("__f").alias("__hi"), F.count(F.lit(1)).alias("__all"))
-    width = F.col("__hi") - F.col("__lo")
-    inside = F.when((width > 0) & (width < inf), F.floor((F.col("__f") - F.col("__lo")) / width * (RANGES - 1))).otherwise(0)
-    place = F.when(F.col("__f").isNotNull(), inside).when(F.isnan("__v"), RANGES + 1).when(F.col("__v") > 0, RANGES).otherwise(-1)
-    place = F.when(F.col("__v").isNull(), RANGES + 2).otherwise(-place if down else place)
-    df = df.crossJoin(F.broadcast(ends)).withColumn("__range", place.cast("int"))  # one row by its definition
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 4 rows
-    counts = df.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    df = ranged(df.withColumn("__v", value), F.col("__v"), "__range", down)
+    whole = Window.partitionBy()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    counts = df.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__all")
+    )
     window = Window.partitionBy("__range").orderBy(F.col("__v").desc_nulls_last() if down else F.col("__v").asc_nulls_last(), *more)
     place = (F.rank() if kind == "rank" else F.row_number()).over(window).cast("long") + F.col("__before")
     if kind == "ntile":
@@ -51,8 +44,7 @@ def globally_ranked(df: DataFrame, call: Call, name: str) -> DataFrame:
         size, rest = F.expr(f"__all div {tiles}"), F.col("__all") % tiles
         large = rest * (size + 1)
         place = F.when(place <= large, F.floor((place - 1) / (size + 1)) + 1).otherwise(rest + F.floor((place - 1 - large) / F.greatest(size, F.lit(1))) + 1).cast("long")
-    hidden = ("__v", "__f", "__lo", "__hi", "__all", "__range", "__before")
-    return df.join(counts, "__range").withColumn(name, place).drop(*hidden)
+    return df.join(counts, "__range").withColumn(name, place).drop("__v", "__range", "__before", "__all")
 
 
 def computed(e: Expr, partition: tuple[str, ...]) -> Column:
@@ -69,7 +61,7 @@ def run(df: DataFrame, node: Transform, dims: list[str], measures: list[str]) ->
     else:
         for text, m in zip(node.measures, measures, strict=True):
             e = expression(text)[0]
-            if isinstance(e, Call) and e.name in RANKS and not node.partition and isinstance(df.select(column(e.args[0], F.col)).schema[0].dataType, NumericType):
+            if isinstance(e, Call) and e.name in RANKS and not node.partition and orderable(df.select(column(e.args[0], F.col)).schema[0].dataType):
                 df = globally_ranked(df, e, f"__rank_{m}")
                 out.append(F.col(f"__rank_{m}").alias(m))
             else:

@@ -73,6 +73,8 @@ def aggregates() -> dict[str, Query]:
         for share in ("25", "50", "75"):
             function = "quantile" if kind == "disc" else f"quantile_{kind}"
             out[f"quantile_{kind}_{share}"] = one(f"{function}(l_extendedprice, 0.{share})", dims=("l_suppkey",))
+    for kind in ("quantile", "quantile_cont", "quantile_weibull"):
+        out[f"{kind}_global"] = one(f"{kind}(l_extendedprice, 0.25)", dims=())
     for n, plain in (("", "25"), ("2", "50"), ("3", "75")):
         out[f"quantile_named_{plain}"] = one(f"quantile{n}(l_quantity)", dims=("l_partkey",))
     return out
@@ -114,6 +116,10 @@ def transforms() -> dict[str, Query]:
         "date_add_month": day(dims=("date_add(l_shipdate, -1 month)", "l_returnflag")),
         "date_add_year": day(dims=("date_add(l_shipdate, 1 year)", "l_returnflag")),
         "time_add_minute": query(TICKS, Aggregate("A", "ticks", ("event_id", "Time"), ("sum(Price)",)), Transform("R", "A", ("event_id", "Time + 1 minute as Time"))),
+        "time_add_hour": query(TICKS, Aggregate("A", "ticks", ("event_id", "Time"), ("sum(Price)",)), Transform("R", "A", ("event_id", "Time + 1 hour as Time"))),
+        "time_add_second": query(TICKS, Aggregate("A", "ticks", ("event_id", "Time"), ("sum(Price)",)), Transform("R", "A", ("event_id", "Time + 30 second as Time"))),
+        "row_number_global": query(LINEITEM, BY_PAIR, Transform("R", "B", measures=("row_number(m0, l_suppkey, l_partkey)",)), whole="m0"),
+        "rank_global_date": query(LINEITEM, Aggregate("A", "lineitem", ("l_shipdate",), ("sum(l_quantity)",)), Transform("R", "A", measures=("rank_desc(l_shipdate)",)), whole="m0"),
         "trunc_month": query(LINEITEM, DAILY, Transform("X", "D", ("date_trunc('month', l_shipdate)", "l_returnflag")), Aggregate("R", "X", ("l_shipdate", "l_returnflag"), ("sum(m0)",))),
         "trunc_year": query(LINEITEM, DAILY, Transform("X", "D", ("date_trunc('year', l_shipdate)", "l_returnflag")), Aggregate("R", "X", ("l_shipdate", "l_returnflag"), ("sum(m0)",))),
         "extract_year_month": day(extract=("year(l_shipdate) as y", "month(l_shipdate) as mon")),
@@ -161,6 +167,8 @@ def windows() -> dict[str, Query]:
         "roll_min": roll("rmin(m2, 2)"),
         "roll_part": roll("rsum(m0, 2)", partition=("Code",)),
         "roll_filtered": roll("rmax(m1, 4)", where="m1 > 100"),
+        "roll_one_dim": query(LINEITEM, BY_PART, Aggregate("R", "A", ("l_partkey",), ("rsum(m0, 3)", "rmax(m1, 5)"))),
+        "roll_number_first": query(LINEITEM, BY_PAIR, Aggregate("R", "B", ("l_suppkey", "l_partkey"), ("ravg(m0, 4)",))),
         "roll_nonleaf": query(STOCK, CELLS, Aggregate("R0", "C", ("Date", "Code"), ("sum(m0)",)), Aggregate("R", "R0", ("Date", "Code"), ("ravg(m0, 3)",))),
     }
 
