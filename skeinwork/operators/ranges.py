@@ -22,8 +22,9 @@ def as_double(value: Column, kind: DataType) -> Column:
 def ranged(df: DataFrame, value: Column, name: str, down: bool = False) -> DataFrame:
     """``df`` with the number of each row's range, ascending (or descending) as ``value`` (a double) is, and null in the last one. Equal values share a
     range. The cuts come from a sketch of bounded size, merged from the tasks'."""
-    finite = F.when(F.abs(value) < float("inf"), value)
-    cuts = df.agg(F.percentile_approx(finite, [k / 2**STEPS for k in range(1, 2**STEPS)], 2 ** (STEPS + 1)).alias("__cuts"))
+    finite = df.select(F.when(F.abs(value) < float("inf"), value).alias("__finite"))
+    # as text, for thousands of literals cross to the JVM one by one otherwise
+    cuts = finite.selectExpr(f"percentile_approx(__finite, array({', '.join(f'{k / 2**STEPS}D' for k in range(1, 2**STEPS))}), {2 ** (STEPS + 1)}) AS __cuts")
     steps = F.array(*[F.lit(2**k) for k in reversed(range(STEPS))])
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at("__cuts", at + step) < F.col("__value"), at + step).otherwise(at))
     last = F.lit(2**STEPS)
