@@ -5,7 +5,8 @@ Tokens are codes: the most frequent words have one each, other words share the c
 softmaxes of the recurrent state. Training is truncated backpropagation over windows; states are carried from window to window, in
 training and in scoring, and start anew with each document.
 
-Arrays hold units in rows and (step, lane) in columns, so that the parts of a gate are whole blocks of memory.
+The recurrence holds units in rows and lanes in columns, so that the parts of a gate are whole blocks of memory. The output takes the states
+class by class, a state together in memory, so that they are gathered and dealt back once.
 """
 
 from __future__ import annotations
@@ -117,7 +118,9 @@ def turned(x: np.ndarray) -> np.ndarray:
 def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By step: states before it, the recurrent product (its first two thirds become the gates), candidates and states after it (unit, lane)."""
     steps, lanes = read.shape
-    a = np.take(turned(p["E"] @ p["W"] + p["b"]).T, read, axis=1)
+    a = turned(p["W"]).T @ p["E"][read.ravel()].T
+    a += turned(p["b"])[:, None]
+    a = a.reshape(-1, steps, lanes)
     R = np.ascontiguousarray(turned(p["R"]).T)
     before, product, candidate, after = (np.empty((steps, n, lanes), h.dtype) for n in (STATE, 3 * STATE, STATE, STATE))
     some = new.any(axis=1)
@@ -141,27 +144,39 @@ def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> t
     return before, product, candidate, after
 
 
-def columns(x: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
-    """(step, unit, lane) as (unit, step and lane), with a last row of ones."""
+def columns(x: np.ndarray) -> np.ndarray:
+    """(step, unit, lane) as (unit, step and lane), with a last row of ones; in memory a column's numbers stand together."""
     steps, units, lanes = x.shape
-    out = np.ones((units + 1, steps, lanes), x.dtype)
-    out[:units] = x.transpose(1, 0, 2)
-    out = out.reshape(units + 1, -1)
-    return out if used is None else out[:, used]
+    out = np.ones((steps, lanes, units + 1), x.dtype)
+    out[:, :, :units] = x.transpose(0, 2, 1)
+    return out.reshape(-1, units + 1).T
 
 
-def settled(logits: np.ndarray, at: np.ndarray, gradient: bool = False) -> np.ndarray:
-    """Log probabilities of the rows ``at``, one per column, of softmaxes over the columns; ``logits`` is overwritten, by the gradients of the loss if
-    asked for."""
+@np.errstate(over="ignore", divide="ignore", invalid="ignore")  # such columns are computed anew
+def settled(weights: np.ndarray, states: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Softmaxes of ``weights`` times the columns: log probabilities of the rows ``at``, one per column; the exponentials and their sums by column."""
     column = np.arange(len(at))
-    logits -= logits.max(axis=0)
-    found = logits[at, column]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    if gradient:
-        logits /= total
-        logits[at, column] -= 1
-    return found - np.log(total)
+    e = weights @ states
+    found = e[at, column]
+    np.exp(e, out=e)
+    total = e.sum(axis=0)
+    logs = found - np.log(total)
+    if not np.isfinite(logs).all():  # exponentials beyond the numbers' range: less the largest, they are not
+        bad = np.flatnonzero(~np.isfinite(logs))
+        logits = weights @ states[:, bad]
+        logits -= logits.max(axis=0)
+        found = logits[at[bad], np.arange(len(bad))]
+        e[:, bad] = np.exp(logits)
+        total[bad] = e[:, bad].sum(axis=0)
+        logs[bad] = found - np.log(total[bad])
+    return logs, e, total
+
+
+def descent(weights: np.ndarray, states: np.ndarray, at: np.ndarray, outward: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The loss of softmaxes over the columns, its gradients by ``weights``, and, a row per column, by the states (units only)."""
+    logs, e, total = settled(weights, states, at)
+    e[at, np.arange(len(at))] -= total  # the gradients by the logits, times the sums
+    return -float(logs.sum()), e @ (states / total).T, (e.T @ outward) / total[:, None]
 
 
 class Heads:
@@ -174,27 +189,25 @@ class Heads:
         self.codes = np.concatenate([p["U"], p["u"][:, None]], axis=1)[self.order]
 
 
-def by_form(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The columns whose class is a form, form by form, and where each form's begin (FORMS + 1)."""
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns class by class, and where each form's begin (FORMS + 1)."""
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(SINGLES, CLASSES + 1))
-    return order[bounds[0] :], bounds - bounds[0]
+    return order, np.searchsorted(cls[order], np.arange(SINGLES, CLASSES + 1))
 
 
 def log_probabilities(p: Params, output: Output, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the target codes' probabilities, given the states before them (as ``columns`` gives them)."""
-    heads, cls, out = Heads(p, output), output.cls[target], np.empty(len(target), states.dtype)
+    heads, order, bounds = Heads(p, output), *by_class(output.cls[target])
+    states, target = states.T[order].T, target[order]
+    cls, place, found, out = output.cls[target], output.place[target], np.empty(len(target), states.dtype), np.empty(len(target), states.dtype)
     for i in range(0, len(target), COLUMNS):
         part = slice(i, i + COLUMNS)
-        out[part] = settled(heads.classes @ states[:, part], cls[part])
-    order, bounds = by_form(cls)
-    inner, place = states[:, order], output.place[target[order]]
-    found = np.empty(len(order), states.dtype)
+        found[part] = settled(heads.classes, states[:, part], cls[part])[0]
     for f in range(FORMS):
-        part = slice(bounds[f], bounds[f + 1])
         if bounds[f + 1] > bounds[f]:
-            found[part] = settled(heads.codes[heads.bounds[f] : heads.bounds[f + 1]] @ inner[:, part], place[part])
-    out[order] += found
+            part, own = slice(bounds[f], bounds[f + 1]), slice(heads.bounds[f], heads.bounds[f + 1])
+            found[part] += settled(heads.codes[own], states[:, part], place[part])[0]
+    out[order] = found
     return out
 
 
@@ -214,7 +227,7 @@ def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window:
         *_, states = recurrence(p, read[part], new[part], h[:, :live])
         h, goal, d = states[-1], target[part].ravel(), doc[part].ravel()
         used = np.flatnonzero(d >= 0) if (d < 0).any() else slice(None)
-        total += np.bincount(d[used], weights=log_probabilities(p, output, columns(states, used), goal[used]), minlength=len(docs))
+        total += np.bincount(d[used], weights=log_probabilities(p, output, columns(states)[:, used], goal[used]), minlength=len(docs))
     return total
 
 
@@ -222,31 +235,26 @@ def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.nda
     """Gradients of the mean loss over a window, the state after it, and the loss."""
     before, product, n, after = recurrence(p, read, new, h)
     used = np.flatnonzero(doc.ravel() >= 0)
-    flat, goal = columns(after, used), target.ravel()[used]
-    heads, cls, m, loss = Heads(p, output), output.cls[goal], len(used), 0.0
-    d_classes, d_codes, d_flat = np.zeros_like(heads.classes), np.zeros_like(heads.codes), np.empty((STATE, m), h.dtype)
-    outward = np.ascontiguousarray(heads.classes[:, :STATE].T)
+    order, bounds = by_class(output.cls[target.ravel()[used]])
+    used = used[order]
+    flat, goal = columns(after).T[used].T, target.ravel()[used]
+    heads, cls, place, m, loss = Heads(p, output), output.cls[goal], output.place[goal], len(used), 0.0
+    d_classes, d_codes, d_flat = np.zeros_like(heads.classes), np.zeros_like(heads.codes), np.empty((m, STATE), h.dtype)
+    outward, outward_codes = heads.classes[:, :STATE], heads.codes[:, :STATE]
     for i in range(0, m, COLUMNS):
         part = slice(i, i + COLUMNS)
-        d = heads.classes @ flat[:, part]
-        loss -= settled(d, cls[part], gradient=True).sum()
-        d_classes += d @ flat[:, part].T
-        np.matmul(outward, d, out=d_flat[:, part])
-    order, bounds = by_form(cls)
-    inner, place = flat[:, order], output.place[goal[order]]
-    d_inner = np.empty((STATE, len(order)), h.dtype)
+        lost, d, d_flat[part] = descent(heads.classes, flat[:, part], cls[part], outward)
+        loss, d_classes = loss + lost, d_classes + d
     for f in range(FORMS):
-        part, own = slice(bounds[f], bounds[f + 1]), slice(heads.bounds[f], heads.bounds[f + 1])
         if bounds[f + 1] > bounds[f]:
-            d = heads.codes[own] @ inner[:, part]
-            loss -= settled(d, place[part], gradient=True).sum()
-            d_codes[own] = d @ inner[:, part].T
-            d_inner[:, part] = heads.codes[own, :STATE].T @ d
-    d_flat[:, order] += d_inner
+            part, own = slice(bounds[f], bounds[f + 1]), slice(heads.bounds[f], heads.bounds[f + 1])
+            lost, d_codes[own], d = descent(heads.codes[own], flat[:, part], place[part], outward_codes[own])
+            loss += lost
+            d_flat[part] += d
     d_flat /= m
-    d_states = np.zeros((STATE, read.size), h.dtype)
-    d_states[:, used] = d_flat
-    d_states = d_states.reshape(STATE, *read.shape)
+    d_states = np.zeros((read.size, STATE), h.dtype)
+    d_states[used] = d_flat
+    d_states = np.ascontiguousarray(d_states.reshape(*read.shape, STATE).transpose(0, 2, 1))
     g: Params = {"C": d_classes[:, :STATE].T / m, "c": d_classes[:, STATE] / m, "U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"]), "E": np.zeros_like(p["E"])}
     g["U"][heads.order], g["u"][heads.order] = d_codes[:, :STATE] / m, d_codes[:, STATE] / m
 
@@ -255,7 +263,7 @@ def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.nda
     d_u, d_n, back = np.empty_like(product), np.empty_like(n), np.empty_like(h)
     d_h, some, R = np.zeros_like(h), new.any(axis=1), p["R"]
     for k in reversed(range(len(read))):
-        d_h += d_states[:, k]
+        d_h += d_states[k]
         du, dn = d_u[k], d_n[k]
         np.multiply(d_h, to_n[k], out=dn)
         np.multiply(d_h, to_z[k], out=du[:STATE])
@@ -267,11 +275,12 @@ def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.nda
             d_h *= ~new[k]
     g["R"] = np.matmul(before, d_u.transpose(0, 2, 1)).sum(axis=0)
     d_u[:, 2 * STATE :] = d_n  # the candidate's input is not behind its gate
-    d_u, codes = np.ascontiguousarray(d_u.transpose(1, 0, 2)).reshape(3 * STATE, -1), read.ravel()
-    g["b"], g["W"] = d_u.sum(axis=1), np.take(p["E"].T, codes, axis=1) @ d_u.T
+    codes = read.ravel()
+    g["b"], g["W"] = d_u.sum(axis=(0, 2)), np.matmul(d_u, p["E"][codes].reshape(*read.shape, EMBED)).sum(axis=0).T
     order = np.argsort(codes.astype(np.int16), kind="stable")
     firsts = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
-    g["E"][codes[order[firsts]]] = np.add.reduceat((p["W"] @ d_u)[:, order], firsts, axis=1).T
+    d_e = np.matmul(p["W"], d_u).transpose(1, 0, 2).reshape(EMBED, -1)
+    g["E"][codes[order[firsts]]] = np.add.reduceat(np.take(d_e, order, axis=1), firsts, axis=1).T
     return g, after[-1], float(loss) / m
 
 
