@@ -125,6 +125,28 @@ def test_probabilities_sum_to_one():
         assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_softmax_beyond_the_range_of_exponentials(kind):
+    """Columns whose exponentials are infinite, or all 0, are computed less their largest; the others are as they were."""
+    r = np.random.default_rng(5)
+    weights, states, at = r.normal(size=(7, 4)).astype(kind), r.normal(size=(4, 9)).astype(kind), r.integers(0, 7, 9)
+    weights[:, 3], states[3] = 1, 0
+    states[3, 2], states[3, 5] = 2000, -2000  # adds to all logits of a column alike
+    states[:3, 7] *= 2000
+    logits = weights.astype(float) @ states
+    top = logits.max(axis=0)
+    want = logits - top - np.log(np.exp(logits - top).sum(axis=0))
+    logs, e, total = gru.settled(weights, states, at)
+    assert np.isfinite(logs).all() and logs == pytest.approx(want[at, np.arange(9)], rel=1e-3, abs=1e-3)
+    assert e / total == pytest.approx(np.exp(want), abs=1e-3)
+    loss, d_weights, d_states = gru.descent(weights, states, at, weights)
+    d = np.exp(want)
+    d[at, np.arange(9)] -= 1
+    assert loss == pytest.approx(-want[at, np.arange(9)].sum(), rel=1e-3)
+    near = 1e-5 if kind is np.float64 else 1e-3
+    assert d_states == pytest.approx((weights.T @ d).T, abs=10 * near) and d_weights == pytest.approx(d @ states.T, abs=near * float(np.abs(states).max()))
+
+
 def test_gradients():
     r, out, p = small()
     docs = [r.integers(0, gru.CODES, n).astype(np.int32) for n in (5, 9, 3, 12)]

@@ -67,8 +67,49 @@ COLUMNS = {
 }
 
 
+TYPES = {
+    "doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
+    "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint",
+    "offset": "bigint", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "size": "bigint", "source_size": "bigint", "target": "double",
+    "taken": "bigint", "query_id": "bigint", "rank": "int", "vec_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "n_email": "bigint", "n_ip": "bigint",
+    "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string",
+}
+
+
 def test_queries_have_the_columns_asked_for(spark):
+    """In the order asked for, of the types asked for, more columns behind them."""
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in entry.QUERIES] == list(range(1, 11)) and set(entry.ORACLES) <= set(entry.QUERIES)
     for name, q in entry.QUERIES.items():
-        df = q(spark, "/root/testdata/sf0.001")
-        assert set(COLUMNS[int(re.match(r"op(\d+)_", name)[1])]) <= set(df.columns) and df.count() >= (0 if name.startswith("op3") else 1), name
+        df, n = q(spark, "/root/testdata/sf0.001"), int(re.match(r"op(\d+)_", name)[1])
+        assert df.columns[: len(COLUMNS[n])] == COLUMNS[n] and df.count() >= (0 if n == 3 else 1), name
+        types = dict(df.dtypes) | ({"score": "double"} if n == 7 and dict(df.dtypes)["score"] == "bigint" else {})
+        assert {c: types[c] for c in COLUMNS[n]} == {c: TYPES[c] for c in COLUMNS[n]}, name
+
+
+def test_edges_through_all_stages(make, spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, and columns that bear the operators' own names."""
+    clean = [prose(90, 900 + k) for k in range(4)]
+    items = [(None, clean[0]), (None, clean[0]), (None, None), (1, clean[1]), (1, clean[1]), (2, ""), (3, None), (4, "x" * 5000), (5, prose(6000, 77)), (6, clean[2], None), (7, clean[2], "t"), (8, clean[3], "")]
+    docs = make(items)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows[name] = out.collect()
+        assert all(r[c] == "x" for r in rows[name] for c in docs.columns[5:]), name
+        docs = spark.createDataFrame(rows[name], out.schema)
+    ids = {name: Counter(r.doc_id for r in found) for name, found in rows.items()}
+    assert ids["quality rules"] == Counter({None: 2, 1: 2, 5: 1, 6: 1, 7: 1, 8: 1})
+    assert ids["near dedup"] == Counter({None: 2, 1: 2, 5: 1, 6: 1, 8: 1})  # a repeated row is one document; null ids are linked with nothing
+    assert ids["personal data"] == ids["near dedup"] and set(ids["mixing"]) <= set(ids["near dedup"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(ids["mixing"]) and max(r.piece for r in packed if r.doc_id == 5) > 0
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_an_empty_table_through_all_stages(make, spark, tmp_path):
+    make([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
