@@ -1,7 +1,12 @@
 """From raw documents to packed sequences, in five stages of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage returns as Parquet in the shared folder and
-hands the next stage that table. All but the last return the columns of ``documents``.
+hands the next stage that table. All but the last return the columns of ``documents``, and further ones as they came, whatever their names.
+
+Edge cases: null texts, empty ones and those of fewer than 50 words fail the quality rules' base and go; very long texts are read whole in every
+stage; of documents alike (ties) the smallest id stays; rows that repeat an id are one document to the dedup, which keeps or drops them together, and
+rows of their own to the other stages; a null doc_id is linked with nothing and stays; a null source is a source of its own, sorted last; nulls
+in other columns have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
