@@ -69,3 +69,10 @@ def test_features_are_indicators(text):
     data = np.frombuffer(text.encode(), np.uint8)
     feats, bounds = B.features(lex(data, np.array([0, len(data)])))
     assert len(set(feats.tolist())) == len(feats) == bounds[-1] and (bounds[-1] == 0) == (text == "")
+
+
+def test_names_of_labels_clash_with_the_operators_own(make, spark, prose):
+    docs, labels, _ = training(make, spark, prose, 120)
+    more = labels.selectExpr("*", "'x' AS label", "'x' AS features", "'x' AS held_out", "'x' AS row", "'x' AS score", "'x' AS n")
+    want, got = ({r.doc_id: tuple(r) for r in B.classify(docs, x).collect()} for x in (labels, more))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
