@@ -1,14 +1,36 @@
-"""Ordered ranges of a column: what a window over all rows needs to be dealt over many tasks."""
+"""How rows are dealt over tasks: by the input's size, and for windows over all rows by ordered ranges of a column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, TimestampType
 
 #: Steps of the search for a value's range: ranges are 2 ** STEPS, cut at quantiles of the data, so that outliers don't fill one range with all the rest.
 STEPS = 12
 
+#: Bytes of the tables' files for each partition of an exchange, and the most that partitions are merged to, so that a task's share of a join or an
+#: aggregation does not grow with the input.
+FILE_BYTES, MERGED_BYTES = 4 << 20, 16 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the planner knows them without reading; other inputs count as none."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def dealt(spark: SparkSession, inputs: list[DataFrame]) -> None:
+    """Raises the session's first number of partitions to what the inputs' size asks for; adaptive execution merges those that turn out small. It is
+    never lowered, for plans made earlier may not have run yet."""
+    first, merged = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    wanted = -(-sum(map(stored_bytes, inputs)) // FILE_BYTES)
+    if wanted > int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(first, str(wanted))
+    if wanted > 1 and int(spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())) > MERGED_BYTES:
+        spark.conf.set(merged, str(MERGED_BYTES))
+
 
 def orderable(kind: DataType) -> bool:
     """Whether a type's values can be dealt to ranges."""

@@ -17,6 +17,7 @@ from skeinwork.functions import column, combine
 from skeinwork.model import RANKS, Aggregate, Chain, Combine, Node, Source, Transform
 from skeinwork.operators import aggregate, transform
 from skeinwork.operators import combine as joining
+from skeinwork.operators.ranges import dealt
 from skeinwork.parse import Call, expression
 
 
@@ -44,6 +45,7 @@ class Compiler:
     def __init__(self, chain: Chain, spark: SparkSession, sf_dir: str, fuse: bool = True, shared: frozenset[str] = frozenset()) -> None:
         self.chain, self.spark, self.sf_dir, self.fuse, self.shared = chain, spark, sf_dir, fuse, shared
         self.kept: list[DataFrame] = []
+        self.inputs: list[DataFrame] = []
         self.frames: dict[str, Frame] = {}
         self.fused: dict[tuple, DataFrame] = {}
 
@@ -75,7 +77,10 @@ class Compiler:
         plain = lambda df: Frame(df, dims, tuple(F.col(m) for m in self.chain.measures(node)))
         match node:
             case Source():
-                return plain(node.load(self.spark, self.sf_dir).select(*node.columns))
+                df = node.load(self.spark, self.sf_dir)
+                self.inputs.append(df)
+                dealt(self.spark, self.inputs)
+                return plain(df.select(*node.columns))
             case Aggregate():
                 return self.aggregated(node, dims) or plain(self.aggregation(node, list(dims), list(node.calls), self.chain.measures(node)))
             case Transform():
