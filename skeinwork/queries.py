@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.functions import rounded
 from skeinwork.model import Aggregate, Chain, Combine, Node, Transform
 from skeinwork.plans.compiler import compile_node
 from skeinwork.plans.sqlgen import cte
@@ -26,7 +27,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = compile_node(self.chain, spark, sf_dir, self.node)
-        return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        return df.select(*[rounded(F.col(c), DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
     def sql(self) -> str:
         node = self.chain.target(self.node)

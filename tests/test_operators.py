@@ -8,6 +8,7 @@ import pytest
 from engine_support import rows
 from pyspark.sql import functions as F
 
+from skeinwork.functions import rounded
 from skeinwork.model import Aggregate, Chain, Combine, Source, Transform
 from skeinwork.plans import sqlgen
 from skeinwork.plans.compiler import compile_node
@@ -176,3 +177,43 @@ def test_chain_checks():
     with pytest.raises(ValueError, match="unknown combiner"):
         Chain("c", [t, Aggregate("A", "t", ("k",), ("count(*)",)), Combine("R", "A", "A", (("k", "=", "k"),), (("m0", "%", "m0"),))])
     assert Chain("c", [t, Aggregate("A", "t", ("k",), ("count(*)",))])["a"].name == "A"
+
+
+def test_rounding_is_duckdbs(spark, duck):
+    import random
+
+    draw = random.Random(7)
+    values = [round(draw.uniform(1, 9e6), 6) + draw.choice((4.9999999e-7, 5e-7, 5.0000001e-7)) for _ in range(20_000)]
+    values += [0.0, -0.0, -1e-9, 0.5e-6, -0.5e-6, 2.5e-6, 1e300, -1e305, math.inf, -math.inf, math.nan, None, 0.49999999999999994e-6]
+    found = spark.createDataFrame(list(enumerate(values)), "k long, x double").select("k", rounded(F.col("x"), 6).alias("x")).collect()
+    got = [str(r.x) for r in sorted(found)]
+    want = [str(duck.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchall()[0][0]) for v in values[-13:]]
+    assert got[-13:] == want
+    listed = duck.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 6))", [values[:-13]]).fetchall()[0][0]
+    assert got[:-13] == [str(v) for v in listed]
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch):
+    from engine_support import SMALL
+
+    from skeinwork.operators import ranges
+    from skeinwork.queries import every
+
+    options = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {o: spark.conf.get(o, None) for o in options}
+    try:
+        chain = every()["distinct_dims"].chain
+        for size in (8 << 10, 4 << 10):
+            monkeypatch.setattr(ranges, "FILE_BYTES", size)
+            df = compile_node(chain, spark, SMALL)
+            tables = [spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("lineitem", "orders")]
+            wanted = -(-sum(map(ranges.stored_bytes, tables)) // size)
+            assert wanted > 4
+            assert f", {wanted}), ENSURE_REQUIREMENTS" in df._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(ranges, "FILE_BYTES", 1 << 30)
+        compile_node(chain, spark, SMALL)  # a smaller input takes nothing back
+        assert int(spark.conf.get(options[0])) == wanted
+        assert ranges.stored_bytes(spark.createDataFrame([(1,)], "k long")) == 0
+    finally:
+        for o, v in before.items():
+            spark.conf.unset(o) if v is None else spark.conf.set(o, v)
