@@ -47,7 +47,8 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
     """``df`` is filtered. Measures get ``names``."""
     if not calls:
         return df.select(*dims).distinct()
-    quantiles = [c for c in dict.fromkeys(calls) if isinstance(c, Call) and c.name.startswith("quantile") and c.name != "quantile_cont"]
+    # within groups Spark's own percentile interpolates; over all rows it would count every distinct value in one task
+    quantiles = [c for c in dict.fromkeys(calls) if isinstance(c, Call) and c.name.startswith("quantile") and (c.name != "quantile_cont" or not dims)]
     weighted: dict[Call, str] = {}
     for k, call in enumerate(quantiles):
         # neighbours by row number: a window sorts with spilling, whatever the group's size
@@ -60,10 +61,10 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
             df = globally_ranked(df, Call("row_number", (argument(call),)), f"__row{k}").crossJoin(F.broadcast(sizes))
             row, size = F.col(f"__row{k}"), F.col(f"__size{k}")
         share = quantile_share(call)
-        if call.name == "quantile_weibull":
-            place = F.least(F.greatest(F.lit(share) * (size + 1), F.lit(1.0)), size.cast("double"))
+        if call.name in ("quantile_weibull", "quantile_cont"):
+            place = F.lit(share) * (size - 1) + 1 if call.name == "quantile_cont" else F.least(F.greatest(F.lit(share) * (size + 1), F.lit(1.0)), size.cast("double"))
             low = F.floor(place)
-            part = F.when(row == low, (low + 1 - place) * value).when(row == low + 1, (place - low) * value)
+            part = F.when(row == low, F.when(place == low, value).otherwise((low + 1 - place) * value)).when((row == low + 1) & (place > low), (place - low) * value)
         else:
             part = F.when(row == F.greatest(F.lit(1), F.ceil(F.lit(share) * size)), value)
         weighted[call] = f"__q{k}"
@@ -71,7 +72,7 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
     out = []
     for call, name in zip(calls, names, strict=True):
         if call in weighted:
-            c = F.sum(weighted[call]) if call.name == "quantile_weibull" else F.max(weighted[call])
+            c = F.sum(weighted[call]) if call.name in ("quantile_weibull", "quantile_cont") else F.max(weighted[call])
         else:
             c = measure(call)
         out.append(c.alias(name))

@@ -217,3 +217,17 @@ def test_partitions_grow_with_the_input(spark, monkeypatch):
     finally:
         for o, v in before.items():
             spark.conf.unset(o) if v is None else spark.conf.set(o, v)
+
+
+@pytest.mark.parametrize("p", [0, 0.25, 0.5, 0.75, 1])
+def test_interpolated_quantiles_over_all_rows(spark, duck, p):
+    call = f"quantile_cont(x, {p})"
+    for values in ([], [None], [3.5], [4.0, 1.0], [2.0, None, 7.0, 7.0, -1.5], [float(7 * k % 11) for k in range(24)], [1.0, 2.0, math.inf], [None, 5.0, None]):
+        t = given(spark, list(enumerate(values)), "k long, x double")
+        chain = Chain("c", [t, Aggregate("R", "t", (), (call, "count(*)"))])
+        df = compile_node(chain, spark, "")
+        assert " percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()  # it takes all distinct values to one task
+        duck.execute("CREATE OR REPLACE TEMP TABLE t (k BIGINT, x DOUBLE)")
+        for row in enumerate(values):
+            duck.execute("INSERT INTO t VALUES (?, ?)", row)
+        assert rows(df.collect()) == rows(duck.execute(sqlgen.cte(chain)).fetchall()), values
