@@ -47,9 +47,9 @@ def ranged(df: DataFrame, value: Column, name: str, down: bool = False) -> DataF
     finite = df.select(F.when(F.abs(value) < float("inf"), value).alias("__finite"))
     # as text, for thousands of literals cross to the JVM one by one otherwise
     cuts = finite.selectExpr(f"percentile_approx(__finite, array({', '.join(f'{k / 2**STEPS}D' for k in range(1, 2**STEPS))}), {2 ** (STEPS + 1)}) AS __cuts")
-    steps = F.array(*[F.lit(2**k) for k in reversed(range(STEPS))])
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at("__cuts", at + step) < F.col("__value"), at + step).otherwise(at))
     last = F.lit(2**STEPS)
-    number = F.when(F.col("__value").isNull(), last).otherwise(-place if down else place)
-    df = df.withColumn("__value", value).crossJoin(F.broadcast(cuts))  # one row by its definition
-    return df.withColumn(name, number).drop("__cuts", "__value")
+    df = df.withColumn("__value", value).crossJoin(F.broadcast(cuts)).withColumn("__at", F.lit(0))  # one row by its definition
+    for k in reversed(range(STEPS)):  # a column a step compiles, where a lambda over the steps is interpreted row by row
+        df = df.withColumn("__at", F.col("__at") + F.when(F.element_at("__cuts", F.col("__at") + 2**k) < F.col("__value"), 2**k).otherwise(0))
+    number = F.when(F.col("__value").isNull(), last).otherwise(-F.col("__at") if down else F.col("__at"))
+    return df.withColumn(name, number).drop("__cuts", "__value", "__at")

@@ -231,3 +231,14 @@ def test_interpolated_quantiles_over_all_rows(spark, duck, p):
         for row in enumerate(values):
             duck.execute("INSERT INTO t VALUES (?, ?)", row)
         assert rows(df.collect()) == rows(duck.execute(sqlgen.cte(chain)).fetchall()), values
+
+
+def test_range_search_compiles(spark):
+    from skeinwork.operators import ranges
+
+    values = [None, math.nan, math.inf, -math.inf, *(float(k * k % 101) for k in range(60))]
+    df = ranges.ranged(spark.createDataFrame([(v,) for v in values], "x double"), F.col("x"), "r")
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()  # functions of rows are interpreted one by one
+    found = [r for r in df.collect() if r.x is not None and r.x == r.x]
+    assert all((a.r <= b.r) if a.x <= b.x else (a.r >= b.r) for a in found for b in found)
+    assert {r.r for r in df.collect() if r.x is None} == {2**ranges.STEPS} and len({r.r for r in found}) > 30
