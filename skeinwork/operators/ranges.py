@@ -12,6 +12,8 @@ STEPS = 12
 #: Bytes of the tables' files for each partition of an exchange, and the most that partitions are merged to, so that a task's share of a join or an
 #: aggregation does not grow with the input.
 FILE_BYTES, MERGED_BYTES = 4 << 20, 16 << 20
+#: Bytes of the tables' files for each partition of cells that are to be paired: there are many times as many pairs as cells.
+PAIRED_BYTES = 512 << 10
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -32,6 +34,11 @@ def dealt(spark: SparkSession, inputs: list[DataFrame]) -> None:
         spark.conf.set(merged, str(MERGED_BYTES))
 
 
+def pieces(spark: SparkSession, inputs: list[DataFrame]) -> int:
+    """Partitions of cells to be paired: by the inputs' size, and not fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(map(stored_bytes, inputs)) // PAIRED_BYTES))
+
+
 def orderable(kind: DataType) -> bool:
     """Whether a type's values can be dealt to ranges."""
     return isinstance(kind, (NumericType, DateType, TimestampType))

@@ -3,10 +3,14 @@
 Fusion: aggregates of the same input, dimensions and condition are one aggregation, and nodes that are computed row by row from it (joins
 of two such nodes on all their dimensions, arithmetic without a filter) are expressions over its rows, so neither a second scan nor a
 join is planned. What a join would drop, rows with a null dimension, is filtered instead.
+
+Pairs: a sum of products by pair, over a join of a fused node with itself, is left open, as what later joins bring by one item of the pair is attached
+to the cells before they are paired (``operators/pairs.py``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -15,10 +19,10 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import column, combine
 from skeinwork.model import RANKS, Aggregate, Chain, Combine, Node, Source, Transform
-from skeinwork.operators import aggregate, transform
+from skeinwork.operators import aggregate, pairs, transform
 from skeinwork.operators import combine as joining
-from skeinwork.operators.ranges import dealt
-from skeinwork.parse import Call, expression
+from skeinwork.operators.ranges import dealt, pieces
+from skeinwork.parse import Call, Name, expression
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,39 @@ class Frame:
         return df.select(*self.dims, *[m.alias(f"m{k}") for k, m in enumerate(self.measures)])
 
 
+@dataclass(frozen=True)
+class Paired:
+    """Sums of products over pairs of cells, not computed yet. ``joins``: later joins by one item of the pair, as (its place in ``dims``, the right node's
+    name, its rows, its dimension, its measures); ``measures`` make the node's measures of the sum and the columns that they bring."""
+
+    cells: DataFrame
+    by: tuple[str, ...]
+    item: str
+    value: str
+    dims: tuple[str, str]
+    parts: int
+    measures: tuple[Callable[[dict[str, Column]], Column], ...]
+    joins: tuple[tuple[int, str, DataFrame, str, tuple[str, ...]], ...] = ()
+    family: None = None
+
+    def rows(self) -> DataFrame:
+        cells, kept, place = self.cells, [], {}
+        for name, df, dim, measures in dict.fromkeys(j[1:] for j in self.joins):
+            sides = {j[0] for j in self.joins if j[1] == name}
+            columns = {m: f"__{name}_{m}" for m in measures}
+            found = None if len(sides) == 2 else f"__{name}"
+            cells = pairs.attached(cells, self.item, df, dim, columns, found)
+            for column in [*columns.values(), *([found] if found else [])]:
+                place[column] = len(kept)
+                kept.append(column)
+        df = pairs.summed(cells, list(self.by), self.item, self.value, kept, self.parts)
+        known = {"sum": F.col("sum")} | {f"{'ab'[j[0]]}.{j[1]}.{m}": F.col(f"{'ab'[j[0]]}{place[f'__{j[1]}_{m}']}") for j in self.joins for m in j[4]}
+        for side, name, *_ in self.joins:
+            if f"__{name}" in place:
+                df = df.where(F.col(f"{'ab'[side]}{place[f'__{name}']}").isNotNull())
+        return df.select(F.col("a").alias(self.dims[0]), F.col("b").alias(self.dims[1]), *[m(known).alias(f"m{k}") for k, m in enumerate(self.measures)])
+
+
 class Compiler:
     """``shared``: names of nodes whose rows are kept when first computed, in memory or on disk, because several others read them:
     the optimizer reuses exchanges only where the plans below are equal, and pruning makes them differ."""
@@ -46,7 +83,7 @@ class Compiler:
         self.chain, self.spark, self.sf_dir, self.fuse, self.shared = chain, spark, sf_dir, fuse, shared
         self.kept: list[DataFrame] = []
         self.inputs: list[DataFrame] = []
-        self.frames: dict[str, Frame] = {}
+        self.frames: dict[str, Frame | Paired] = {}
         self.fused: dict[tuple, DataFrame] = {}
 
     def family(self, node: Aggregate) -> tuple | None:
@@ -60,10 +97,13 @@ class Compiler:
     def data(self, name: str) -> DataFrame:
         return self.frame(self.chain[name]).rows()
 
-    def frame(self, node: Node) -> Frame:
+    def frame(self, node: Node) -> Frame | Paired:
         key = node.name.lower()
         if key not in self.frames:
-            self.frames[key] = frame = self.make(node)
+            frame = self.make(node)
+            if isinstance(frame, Paired) and key in self.shared:
+                frame = self.plain(frame.rows(), node)
+            self.frames[key] = frame
             if key in self.shared and all(frame.df is not k for k in self.kept):
                 self.kept.append(frame.df.persist(StorageLevel.MEMORY_AND_DISK))
         return self.frames[key]
@@ -72,9 +112,12 @@ class Compiler:
         for df in self.kept:
             df.unpersist()
 
-    def make(self, node: Node) -> Frame:
+    def plain(self, df: DataFrame, node: Node) -> Frame:
+        return Frame(df, tuple(self.chain.dims(node)), tuple(F.col(m) for m in self.chain.measures(node)))
+
+    def make(self, node: Node) -> Frame | Paired:
         dims = tuple(self.chain.dims(node))
-        plain = lambda df: Frame(df, dims, tuple(F.col(m) for m in self.chain.measures(node)))
+        plain = lambda df: self.plain(df, node)
         match node:
             case Source():
                 df = node.load(self.spark, self.sf_dir)
@@ -82,11 +125,11 @@ class Compiler:
                 dealt(self.spark, self.inputs)
                 return plain(df.select(*node.columns))
             case Aggregate():
-                return self.aggregated(node, dims) or plain(self.aggregation(node, list(dims), list(node.calls), self.chain.measures(node)))
+                return self.paired(node, dims) or self.aggregated(node, dims) or plain(self.aggregation(node, list(dims), list(node.calls), self.chain.measures(node)))
             case Transform():
                 return self.mapped(node, dims) or plain(transform.run(self.data(node.input), node, list(dims), self.chain.measures(node)))
             case Combine():
-                return self.aligned(node, dims) or plain(
+                return self.aligned(node, dims) or self.attached(node) or plain(
                     joining.run(self.data(node.left), self.data(node.right), node, self.chain.dims(self.chain[node.left]), self.chain.right_dims(node), self.chain.single(self.chain[node.right]))
                 )
         raise TypeError(node)
@@ -129,6 +172,40 @@ class Compiler:
         pick = lambda frame, m: frame.measures[int(m[1:])] if m else F.lit(None)
         return replace(a, measures=tuple(combine(pick(a, x), op, pick(b, y)) for x, op, y in node.measures), present=True)
 
+    def paired(self, node: Aggregate, dims: tuple[str, ...]) -> Paired | None:
+        """The sum of products by pair of items, over a join of a fused aggregation with itself on all its other dimensions."""
+        both, call = self.chain[node.input], node.calls[0] if len(node.calls) == 1 else None
+        if not self.fuse or not isinstance(both, Combine) or node.condition or node.partition or not isinstance(call, Call) or call.name != "sum" or not isinstance(call.args[0], Name):
+            return None
+        left, right, name = self.chain[both.left], self.chain[both.right], call.args[0].name
+        if not isinstance(left, Aggregate) or not isinstance(right, Aggregate) or self.family(left) is None or self.family(left) != self.family(right) or not left.grouped:
+            return None
+        by, own = [a for a, _, _ in both.on], self.chain.dims(left)
+        items = [d for d in own if d not in by]
+        if not by or any(op != "=" or a != b for a, op, b in both.on) or len(items) != 1 or {*dims} != {items[0], *(new for _, new in self.chain.right_dims(both))} or len(dims) != 2:
+            return None
+        a, op, b = both.measures[int(name[1:])] if name in self.chain.measures(both) else ("", "", "")
+        if op != "*" or not a or not b or left.calls[int(a[1:])] != right.calls[int(b[1:])]:
+            return None
+        base = self.frame(left)
+        cells = base.df.select(*own, base.measures[int(a[1:])].alias("__value"))
+        return Paired(cells, tuple(by), items[0], "__value", dims, pieces(self.spark, self.inputs), (lambda known: known["sum"],))
+
+    def attached(self, node: Combine) -> Paired | None:
+        """A join of sums by pair with a node of one row an item: the measures that it brings are known before the pairs are made."""
+        base, right = self.frame(self.chain[node.left]), self.chain[node.right]
+        if not isinstance(base, Paired) or len(node.on) != 1 or node.on[0][1] != "=" or self.chain.dims(right) != [node.on[0][2]] or not self.chain.unique(right):
+            return None
+        item, _, dim = node.on[0]
+        side, name = base.dims.index(item), right.name.lower()
+        pick = lambda known, m, of: (of(known, m) if m else F.lit(None))
+        left = lambda known, m: base.measures[int(m[1:])](known)
+        brought = lambda known, m: known[f"{'ab'[side]}.{name}.{m}"]
+        measures = tuple(lambda known, x=x, op=op, y=y: combine(pick(known, x, left), op, pick(known, y, brought)) for x, op, y in node.measures)
+        seen = next((j[2] for j in base.joins if j[1] == name), None)
+        join = (side, name, seen if seen is not None else self.data(right.name), dim, tuple(self.chain.measures(right)))
+        return replace(base, measures=measures, joins=(*base.joins, join))
+
 
 def read_often(chain: Chain, target: Node) -> frozenset[str]:
     """Aggregates and joins that several nodes of a target read."""

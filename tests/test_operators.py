@@ -5,13 +5,14 @@ import itertools
 import math
 
 import pytest
-from engine_support import rows
+from engine_support import SMALL, rows
 from pyspark.sql import functions as F
 
 from skeinwork.functions import rounded
 from skeinwork.model import Aggregate, Chain, Combine, Source, Transform
 from skeinwork.plans import sqlgen
 from skeinwork.plans.compiler import compile_node
+from skeinwork.sources.catalog import CHAINS
 from skeinwork.sources.tables import file
 
 
@@ -242,3 +243,37 @@ def test_range_search_compiles(spark):
     found = [r for r in df.collect() if r.x is not None and r.x == r.x]
     assert all((a.r <= b.r) if a.x <= b.x else (a.r >= b.r) for a in found for b in found)
     assert {r.r for r in df.collect() if r.x is None} == {2**ranges.STEPS} and len({r.r for r in found}) > 30
+
+
+PURCHASES = [
+    (1, 10, 2.0), (1, 11, 3.0), (1, 11, 1.0), (1, 12, 0.0), (2, 10, -1.0), (2, 11, 5.0), (2, None, 4.0), (3, 12, 0.0), (3, None, 1.0), (None, 10, 9.0), (None, 13, 9.0),
+    (4, 13, None), (4, 10, 1.5), (5, 14, float("inf")), (5, 10, 1.0), (6, 15, 7.0),
+]
+
+
+@pytest.mark.parametrize("sides", [("i",), ("i2",), ("i", "i2"), ("i2", "i"), ()])
+@pytest.mark.parametrize("dims", [("i", "i2"), ("i2", "i")])
+@pytest.mark.parametrize("least", ["", "m0 > 1"])
+def test_sums_by_pair_and_later_joins_by_an_item(spark, sides, dims, least):
+    """Nulls in keys and values, zero and infinite norms, items that a later join drops on one side or on both."""
+    cells = lambda name: Aggregate(name, "t", ("c", "i"), ("sum(v)",))
+    nodes = [given(spark, PURCHASES, "c int, i int, v double"), cells("A"), cells("B"), Combine("P", "A", "B", (("c", "=", "c"),), (("m0", "*", "m0"),)), Aggregate("S", "P", dims, ("sum(m0)",))]
+    nodes += [Transform("Q", "A", measures=("pow(m0, 2)",)), Aggregate("N", "Q", ("i",), ("sum(m0)", "count(*)")), Transform("L", "N", where=least)]
+    for k, side in enumerate(sides):
+        nodes.append(Combine(f"J{k}", nodes[-1].name if k else "S", "L", ((side, "=", "i"),), (("m0", "/", "m0"), ("m0", "rsub", "m1"))))
+    found = Chain("c", nodes)
+    last = nodes[-1].name if sides else "S"
+    got, want = (rows(compile_node(found, spark, "", last, fuse).collect()) for fuse in (True, False))
+    assert got == want and len(want) > 3
+
+
+def test_pairs_of_cells_go_through_no_exchange(spark):
+    """Pairs are made and summed, and joins by an item done, without moving a pair: nothing stands above the generation of pairs but rows' own arithmetic."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = compile_node(CHAINS["OR-C2"], spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    above = plan.split("Generate posexplode")[0]
+    assert "HashAggregate" in above and "Exchange" not in above and "Join" not in above
