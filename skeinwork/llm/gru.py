@@ -107,41 +107,46 @@ def starts(doc: np.ndarray) -> np.ndarray:
     return new
 
 
-def turned(x: np.ndarray) -> np.ndarray:
-    """Gates' inputs (the first two thirds of the last axis) with the other sign: a gate is 1 / (1 + exp of that)."""
-    x = x.copy()
-    x[..., : 2 * STATE] *= -1
-    return x
-
-
 @np.errstate(over="ignore")  # a gate that is 0 then
-def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By step: states before it, the recurrent product (its first two thirds become the gates), candidates and states after it (unit, lane)."""
+def recurrence(p: Params, read: np.ndarray, new: np.ndarray, h: np.ndarray, kept: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By step (unit, lane): what goes in (the state before it, the embedding, one), the gates and twice the recurrent part of the candidate, candidates and
+    states after it. All but the states have the last step alone unless ``kept``. A step's arrays are made together, so that they are in the cache."""
     steps, lanes = read.shape
-    a = turned(p["W"]).T @ p["E"][read.ravel()].T
-    a += turned(p["b"])[:, None]
-    a = a.reshape(-1, steps, lanes)
-    R = np.ascontiguousarray(turned(p["R"]).T)
-    before, product, candidate, after = (np.empty((steps, n, lanes), h.dtype) for n in (STATE, 3 * STATE, STATE, STATE))
+    # rows: the gates', with the other sign (a gate is 1 / (1 + exp of that)), then twice the candidate's, from the state and from the rest apart (its tanh
+    # is 1 - 2 / (1 + exp of that))
+    weights = np.zeros((4 * STATE, STATE + EMBED + 1), h.dtype)
+    every = np.concatenate([p["R"], p["W"], p["b"][None]]).T
+    weights[: 2 * STATE] = -every[: 2 * STATE]
+    weights[2 * STATE : 3 * STATE, :STATE] = 2 * every[2 * STATE :, :STATE]
+    weights[3 * STATE :, STATE:] = 2 * every[2 * STATE :, STATE:]
+    embedded = np.ascontiguousarray(p["E"].T.astype(h.dtype))
+    x, product, candidate = (np.empty((steps if kept else 1, n, lanes), h.dtype) for n in (STATE + EMBED + 1, 3 * STATE, STATE))
+    after, u = np.empty((steps, STATE, lanes), h.dtype), np.empty((4 * STATE, lanes), h.dtype)
+    x[:, -1] = 1
     some = new.any(axis=1)
     for k in range(steps):
-        before[k] = h
+        j = k if kept else 0
+        before, v, n = x[j, :STATE], x[j], candidate[j]
+        before[:] = h
         if some[k]:
-            before[k] *= ~new[k]
-        u, n, h = product[k], candidate[k], after[k]
-        np.matmul(R, before[k], out=u)
-        g = u[: 2 * STATE]
-        g += a[: 2 * STATE, k]
-        np.exp(g, out=g)
+            before *= ~new[k]
+        np.take(embedded, read[k], axis=1, out=v[STATE:-1], mode="clip")  # codes are within it; another mode would copy
+        g, un, h = product[j, : 2 * STATE], product[j, 2 * STATE :], after[k]
+        np.matmul(weights, v, out=u)
+        np.exp(u[: 2 * STATE], out=g)
         g += 1
         np.reciprocal(g, out=g)
-        np.multiply(g[STATE:], u[2 * STATE :], out=n)
-        n += a[2 * STATE :, k]
-        np.tanh(n, out=n)
-        np.subtract(before[k], n, out=h)
+        np.multiply(g[STATE:], u[2 * STATE : 3 * STATE], out=un)
+        np.add(un, u[3 * STATE :], out=n)
+        np.exp(n, out=n)
+        n += 1
+        np.reciprocal(n, out=n)
+        n *= -2
+        n += 1
+        np.subtract(before, n, out=h)
         h *= g[:STATE]
         h += n
-    return before, product, candidate, after
+    return x, product, candidate, after
 
 
 def columns(x: np.ndarray) -> np.ndarray:
@@ -155,9 +160,8 @@ def columns(x: np.ndarray) -> np.ndarray:
 @np.errstate(over="ignore", divide="ignore", invalid="ignore")  # such columns are computed anew
 def settled(weights: np.ndarray, states: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Softmaxes of ``weights`` times the columns: log probabilities of the rows ``at``, one per column; the exponentials and their sums by column."""
-    column = np.arange(len(at))
     e = weights @ states
-    found = e[at, column]
+    found = e.ravel().take(at * len(at) + np.arange(len(at)))
     np.exp(e, out=e)
     total = e.sum(axis=0)
     logs = found - np.log(total)
@@ -175,7 +179,7 @@ def settled(weights: np.ndarray, states: np.ndarray, at: np.ndarray) -> tuple[np
 def descent(weights: np.ndarray, states: np.ndarray, at: np.ndarray, outward: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """The loss of softmaxes over the columns, its gradients by ``weights``, and, a row per column, by the states (units only)."""
     logs, e, total = settled(weights, states, at)
-    e[at, np.arange(len(at))] -= total  # the gradients by the logits, times the sums
+    e.ravel()[at * len(at) + np.arange(len(at))] -= total  # the gradients by the logits, times the sums
     return -float(logs.sum()), e @ (states / total).T, (e.T @ outward) / total[:, None]
 
 
@@ -224,7 +228,7 @@ def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window:
     for at in range(0, len(read), window):
         live = int((length > at).sum())  # lanes are ordered by length
         part = slice(at, at + window), slice(0, live)
-        *_, states = recurrence(p, read[part], new[part], h[:, :live])
+        *_, states = recurrence(p, read[part], new[part], h[:, :live], kept=False)
         h, goal, d = states[-1], target[part].ravel(), doc[part].ravel()
         used = np.flatnonzero(d >= 0) if (d < 0).any() else slice(None)
         total += np.bincount(d[used], weights=log_probabilities(p, output, columns(states)[:, used], goal[used]), minlength=len(docs))
@@ -233,7 +237,7 @@ def score(p: Params, output: Output, docs: list[np.ndarray], first: int, window:
 
 def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.ndarray, doc: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """Gradients of the mean loss over a window, the state after it, and the loss."""
-    before, product, n, after = recurrence(p, read, new, h)
+    x, product, n, after = recurrence(p, read, new, h)
     used = np.flatnonzero(doc.ravel() >= 0)
     order, bounds = by_class(output.cls[target.ravel()[used]])
     used = used[order]
@@ -258,25 +262,34 @@ def window_gradients(p: Params, output: Output, read: np.ndarray, target: np.nda
     g: Params = {"C": d_classes[:, :STATE].T / m, "c": d_classes[:, STATE] / m, "U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"]), "E": np.zeros_like(p["E"])}
     g["U"][heads.order], g["u"][heads.order] = d_codes[:, :STATE] / m, d_codes[:, STATE] / m
 
-    z, r, un = product[:, :STATE], product[:, STATE : 2 * STATE], product[:, 2 * STATE :]
-    to_n, to_r, to_z = (1 - z) * (1 - n * n), un * r * (1 - r), (before - n) * z * (1 - z)
     d_u, d_n, back = np.empty_like(product), np.empty_like(n), np.empty_like(h)
     d_h, some, R = np.zeros_like(h), new.any(axis=1), p["R"]
+    rest, slope = np.empty_like(h), np.empty_like(h)
     for k in reversed(range(len(read))):
         d_h += d_states[k]
-        du, dn = d_u[k], d_n[k]
-        np.multiply(d_h, to_n[k], out=dn)
-        np.multiply(d_h, to_z[k], out=du[:STATE])
-        np.multiply(dn, to_r[k], out=du[STATE : 2 * STATE])
-        np.multiply(dn, r[k], out=du[2 * STATE :])
-        d_h *= z[k]
-        d_h += np.matmul(R, du, out=back)
+        (z, r, un), (dz, dr, du_n), dn = product[k].reshape(3, STATE, -1), d_u[k].reshape(3, STATE, -1), d_n[k]
+        np.subtract(1, z, out=rest)
+        np.multiply(n[k], n[k], out=slope)
+        np.subtract(1, slope, out=slope)
+        np.multiply(d_h, rest, out=dn)
+        dn *= slope
+        np.subtract(x[k, :STATE], n[k], out=dz)
+        dz *= rest
+        d_h *= z
+        dz *= d_h
+        np.multiply(dn, r, out=du_n)
+        np.subtract(1, r, out=dr)
+        dr *= un
+        dr *= dn
+        dr *= 0.5
+        d_h += np.matmul(R, d_u[k], out=back)
         if some[k]:
             d_h *= ~new[k]
-    g["R"] = np.matmul(before, d_u.transpose(0, 2, 1)).sum(axis=0)
+    to_gates, to_own = np.matmul(x, d_u[:, : 2 * STATE].transpose(0, 2, 1)).sum(axis=0), np.matmul(x[:, STATE:], d_n.transpose(0, 2, 1)).sum(axis=0)
+    g["R"] = np.concatenate([to_gates[:STATE], np.matmul(x[:, :STATE], d_u[:, 2 * STATE :].transpose(0, 2, 1)).sum(axis=0)], axis=1)
+    g["W"], g["b"] = np.concatenate([to_gates[STATE:-1], to_own[:-1]], axis=1), np.concatenate([to_gates[-1], to_own[-1]])
     d_u[:, 2 * STATE :] = d_n  # the candidate's input is not behind its gate
     codes = read.ravel()
-    g["b"], g["W"] = d_u.sum(axis=(0, 2)), np.matmul(d_u, p["E"][codes].reshape(*read.shape, EMBED)).sum(axis=0).T
     order = np.argsort(codes.astype(np.int16), kind="stable")
     firsts = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
     d_e = np.matmul(p["W"], d_u).transpose(1, 0, 2).reshape(EMBED, -1)

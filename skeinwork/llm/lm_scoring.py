@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 from math import ceil
 from operator import itemgetter
@@ -40,6 +41,8 @@ HEAD = 1 << 18
 SHARD, EPOCHS, TOGETHER = 1 << 21, 8, 1 << 19
 #: Step sizes and lanes of the beginning and of the shards.
 FIRST_RATE, RATE, FIRST_LANES, SHARD_LANES = 0.01, 0.006, 64, 512
+#: Leading bits of a hash by which head words are found.
+BUCKET = 19
 END = np.uint64(0x5EAF00D5EAF00D11)
 #: Distinct words that a task gathers before it sends their counts on, and numbers of means of the shards' models.
 GATHER, MEANS = 1 << 18, (256, 16, 1)
@@ -115,12 +118,31 @@ class Vocabulary:
     def end(self) -> int:
         return int(self.code[np.searchsorted(self.keys, END)]) if self.tokens else 0
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the keys of each leading BUCKET bits begin; hashes are spread evenly over them."""
+        return np.concatenate(([0], np.cumsum(np.bincount((self.keys >> U(64 - BUCKET)).astype(np.int64), minlength=1 << BUCKET)))).astype(np.int32)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where words stand among the keys, -1 for none: the few keys of equal leading bits are tried in turn."""
+        bucket = (words >> U(64 - BUCKET)).astype(np.int64)
+        at, end, place = self.starts[bucket], self.starts[bucket + 1], np.full(len(words), -1)
+        live = np.flatnonzero(at < end)
+        at, end, words = at[live], end[live], words[live]
+        while len(live):
+            hit = self.keys[at] == words
+            place[live[hit]] = at[hit]
+            at += 1
+            more = np.flatnonzero(~hit & (at < end))
+            at, end, words, live = at[more], end[more], words[more], live[more]
+        return place
+
     def look_up(self, words: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of words, and their counts; -1 for words outside the head."""
         if not len(self.keys):
             return gru.WORDS + form, np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        found = self.keys[at] == words
+        at = self.places(words)
+        found = at >= 0
         code = np.where(found, self.code[at], -1)
         return np.where(code >= 0, code, gru.WORDS + form), np.where(found, self.counts[at], -1)
 

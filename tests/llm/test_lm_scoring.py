@@ -189,3 +189,32 @@ def test_parameters_round_trip():
     _, _, p = small()
     again = gru.views(gru.packed(p))
     assert all((p[k] == again[k]).all() for k in p)
+
+
+@pytest.mark.parametrize("keys", [[], [5], [0, 2**64 - 1], [7 << 45, (7 << 45) + 1, (7 << 45) + 9, (8 << 45) - 1, 8 << 45], "random"])
+def test_places_of_words_among_the_keys(keys):
+    """Keys of equal leading bits, the least and the greatest, and words beside them."""
+    random = np.random.default_rng(5)
+    keys = np.unique(random.integers(0, 2**64, 70000, dtype=np.uint64)) if keys == "random" else np.array(keys, np.uint64)
+    words = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), random.integers(0, 2**64, 1000, dtype=np.uint64)])
+    found = L.Vocabulary(keys, keys, keys, None, None, np.zeros(0), 0, 0).places(words)
+    at = {int(k): i for i, k in enumerate(keys)}
+    assert found.tolist() == [at.get(int(w), -1) for w in words]
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_states_are_the_same_with_and_without_the_steps_kept(size):
+    """Against gates written out; large weights bring gates and candidates to their ends. What scoring leaves out is one step's, not a window's."""
+    random = np.random.default_rng(size)
+    p = {k: v.astype(float) * size for k, v in gru.start(gru.Output.of(np.zeros(gru.WORDS, int)), np.ones(gru.CODES)).items()}
+    read, new = random.integers(0, gru.CODES, (9, 5)).astype(np.int32), random.random((9, 5)) < 0.2
+    h, S, logistic = random.normal(size=(gru.STATE, 5)), gru.STATE, lambda x: 1 / (1 + np.exp(-x))
+    full, brief = gru.recurrence(p, read, new, h), gru.recurrence(p, read, new, h, kept=False)
+    assert [len(x) for x in full] == [9] * 4 and [len(x) for x in brief] == [1, 1, 1, 9]
+    with np.errstate(over="ignore"):
+        for k in range(9):
+            h = h * ~new[k]
+            a, u = p["W"].T @ p["E"][read[k]].T + p["b"][:, None], p["R"].T @ h
+            z, r = logistic(a[:S] + u[:S]), logistic(a[S : 2 * S] + u[S : 2 * S])
+            h = z * h + (1 - z) * np.tanh(a[2 * S :] + r * u[2 * S :])
+            assert np.allclose(full[3][k], h, atol=1e-12) and np.allclose(brief[3][k], h, atol=1e-12)
