@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from skeinwork.functions import column, quantile_share, test
 from skeinwork.model import AGGREGATES, ROLLING, Aggregate
 from skeinwork.operators.ranges import as_double, orderable, ranged
 from skeinwork.operators.transform import globally_ranked
-from skeinwork.parse import Call, Expr, Number, Star
+from skeinwork.parse import Call, Expr, Name, Number, Star
 
 
 def argument(call: Call) -> Expr:
@@ -79,6 +80,13 @@ def grouped(df: DataFrame, dims: list[str], calls: list[Expr], names: list[str])
     return df.groupBy(*dims).agg(*out) if dims else df.agg(*out)
 
 
+def dealt(df: DataFrame, dims: list[str], calls: list[Call], by: str) -> tuple[DataFrame, list[Call]]:
+    """``df`` dealt to tasks by a dimension, with the arguments of aggregates computed before, and the aggregates over them."""
+    names = {a: f"__x{k}" for k, a in enumerate(dict.fromkeys(argument(c) for c in calls if not isinstance(argument(c), Star)))}
+    df = df.select(*dims, *[column(a, F.col).alias(n) for a, n in names.items()]).repartition(by)
+    return df, [c if isinstance(argument(c), Star) else replace(c, args=(Name(names[argument(c)]), *c.args[1:])) for c in calls]
+
+
 def rolled(df: DataFrame, dims: list[str], partition: tuple[str, ...], calls: list[Expr], names: list[str]) -> DataFrame:
     """Rolling functions over the rows in the order of all dims; without ``partition`` frames cross group borders.
 

@@ -12,8 +12,8 @@ STEPS = 12
 #: Bytes of the tables' files for each partition of an exchange, and the most that partitions are merged to, so that a task's share of a join or an
 #: aggregation does not grow with the input.
 FILE_BYTES, MERGED_BYTES = 4 << 20, 16 << 20
-#: Bytes of the tables' files for each partition of cells that are to be paired: there are many times as many pairs as cells.
-PAIRED_BYTES = 512 << 10
+#: Bytes of the tables' files for each task that pairs cells: there are many times as many pairs as cells.
+PAIRED_BYTES = 1 << 20
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -35,7 +35,7 @@ def dealt(spark: SparkSession, inputs: list[DataFrame]) -> None:
 
 
 def pieces(spark: SparkSession, inputs: list[DataFrame]) -> int:
-    """Partitions of cells to be paired: by the inputs' size, and not fewer than the session's."""
+    """Tasks that pair cells: by the inputs' size, and not fewer than the session's partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(map(stored_bytes, inputs)) // PAIRED_BYTES))
 
 
@@ -48,10 +48,10 @@ def as_double(value: Column, kind: DataType) -> Column:
     return value.cast("double") if isinstance(kind, NumericType) else value.cast("timestamp").cast("double")
 
 
-def ranged(df: DataFrame, value: Column, name: str, down: bool = False) -> DataFrame:
+def ranged(df: DataFrame, value: Column, name: str, down: bool = False, among: DataFrame | None = None) -> DataFrame:
     """``df`` with the number of each row's range, ascending (or descending) as ``value`` (a double) is, and null in the last one. Equal values share a
-    range. The cuts come from a sketch of bounded size, merged from the tasks'."""
-    finite = df.select(F.when(F.abs(value) < float("inf"), value).alias("__finite"))
+    range. The cuts come from a sketch of bounded size, merged from the tasks', of the rows or of those ``among`` them."""
+    finite = (df if among is None else among).select(F.when(F.abs(value) < float("inf"), value).alias("__finite"))
     # as text, for thousands of literals cross to the JVM one by one otherwise
     cuts = finite.selectExpr(f"percentile_approx(__finite, array({', '.join(f'{k / 2**STEPS}D' for k in range(1, 2**STEPS))}), {2 ** (STEPS + 1)}) AS __cuts")
     last = F.lit(2**STEPS)

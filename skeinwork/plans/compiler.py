@@ -52,22 +52,28 @@ class Paired:
     item: str
     value: str
     dims: tuple[str, str]
-    parts: int
+    tasks: int
     measures: tuple[Callable[[dict[str, Column]], Column], ...]
     joins: tuple[tuple[int, str, DataFrame, str, tuple[str, ...]], ...] = ()
     family: None = None
 
     def rows(self) -> DataFrame:
         cells, kept, place = self.cells, [], {}
+        joined = {name: {j[0] for j in self.joins if j[1] == name} for name in dict.fromkeys(j[1] for j in self.joins)}
+        if any(len(sides) == 2 for sides in joined.values()):  # such a join drops null items; said here, the search for cuts reads the exchange of all others
+            cells = cells.where(F.col(self.item).isNotNull())
+        # dealt to blocks first: the search for cuts then reads nothing of what is attached
+        blocks, turns = pairs.shares(self.tasks)
+        cells = pairs.blocked(cells, self.item, self.value, blocks)
         for name, df, dim, measures in dict.fromkeys(j[1:] for j in self.joins):
-            sides = {j[0] for j in self.joins if j[1] == name}
+            sides = joined[name]
             columns = {m: f"__{name}_{m}" for m in measures}
             found = None if len(sides) == 2 else f"__{name}"
             cells = pairs.attached(cells, self.item, df, dim, columns, found)
             for column in [*columns.values(), *([found] if found else [])]:
                 place[column] = len(kept)
                 kept.append(column)
-        df = pairs.summed(cells, list(self.by), self.item, self.value, kept, self.parts)
+        df = pairs.summed(cells, list(self.by), self.item, self.value, kept, blocks, turns)
         known = {"sum": F.col("sum")} | {f"{'ab'[j[0]]}.{j[1]}.{m}": F.col(f"{'ab'[j[0]]}{place[f'__{j[1]}_{m}']}") for j in self.joins for m in j[4]}
         for side, name, *_ in self.joins:
             if f"__{name}" in place:
@@ -134,8 +140,11 @@ class Compiler:
                 )
         raise TypeError(node)
 
-    def aggregation(self, node: Aggregate, dims: list[str], calls: list, names: list[str]) -> DataFrame:
+    def aggregation(self, node: Aggregate, dims: list[str], calls: list, names: list[str], item: str | None = None) -> DataFrame:
+        """``item``: the dimension by which rows go to tasks, so that what is then computed or joined by it needs no other exchange."""
         df = aggregate.filtered(self.data(node.input), node)
+        if item is not None and not node.rolling:
+            df, calls = aggregate.dealt(df, dims, calls, item)
         if node.rolling:
             return aggregate.rolled(df, dims, node.partition, calls, names)
         if not node.grouped:
@@ -148,7 +157,8 @@ class Compiler:
             return None
         calls = list(dict.fromkeys(c for n in self.chain.nodes if isinstance(n, Aggregate) and self.family(n) == family for c in n.calls))
         if family not in self.fused:
-            self.fused[family] = self.aggregation(node, list(dims), calls, [f"__f{k}" for k in range(len(calls))])
+            item = next((p[2] for n in self.chain.nodes if isinstance(n, Aggregate) and (p := self.pairing(n)) and self.family(p[0]) == family), None)
+            self.fused[family] = self.aggregation(node, list(dims), calls, [f"__f{k}" for k in range(len(calls))], item)
         return Frame(self.fused[family], dims, tuple(F.col(f"__f{calls.index(c)}") for c in node.calls), family)
 
     def mapped(self, node: Transform, dims: tuple[str, ...]) -> Frame | None:
@@ -173,8 +183,18 @@ class Compiler:
         return replace(a, measures=tuple(combine(pick(a, x), op, pick(b, y)) for x, op, y in node.measures), present=True)
 
     def paired(self, node: Aggregate, dims: tuple[str, ...]) -> Paired | None:
-        """The sum of products by pair of items, over a join of a fused aggregation with itself on all its other dimensions."""
-        both, call = self.chain[node.input], node.calls[0] if len(node.calls) == 1 else None
+        found = self.pairing(node)
+        if found is None:
+            return None
+        left, by, item, measure = found
+        base = self.frame(left)
+        cells = base.df.select(*self.chain.dims(left), base.measures[measure].alias("__cell"))
+        return Paired(cells, by, item, "__cell", dims, pieces(self.spark, self.inputs), (lambda known: known["sum"],))
+
+    def pairing(self, node: Aggregate) -> tuple[Aggregate, tuple[str, ...], str, int] | None:
+        """Of a sum of products by pair of items, over a join of a fused aggregation with itself on all its other dimensions: the aggregation, those
+        dimensions, the item's, and the measure's number."""
+        dims, both, call = self.chain.dims(node), self.chain[node.input], node.calls[0] if len(node.calls) == 1 else None
         if not self.fuse or not isinstance(both, Combine) or node.condition or node.partition or not isinstance(call, Call) or call.name != "sum" or not isinstance(call.args[0], Name):
             return None
         left, right, name = self.chain[both.left], self.chain[both.right], call.args[0].name
@@ -187,9 +207,7 @@ class Compiler:
         a, op, b = both.measures[int(name[1:])] if name in self.chain.measures(both) else ("", "", "")
         if op != "*" or not a or not b or left.calls[int(a[1:])] != right.calls[int(b[1:])]:
             return None
-        base = self.frame(left)
-        cells = base.df.select(*own, base.measures[int(a[1:])].alias("__value"))
-        return Paired(cells, tuple(by), items[0], "__value", dims, pieces(self.spark, self.inputs), (lambda known: known["sum"],))
+        return left, tuple(by), items[0], int(a[1:])
 
     def attached(self, node: Combine) -> Paired | None:
         """A join of sums by pair with a node of one row an item: the measures that it brings are known before the pairs are made."""

@@ -277,3 +277,57 @@ def test_pairs_of_cells_go_through_no_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     above = plan.split("Generate posexplode")[0]
     assert "HashAggregate" in above and "Exchange" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "string", "date"])
+@pytest.mark.parametrize("sides", [("i", "i2"), ("i2",), ()])
+def test_sums_by_pair_over_many_blocks(spark, monkeypatch, kind, sides):
+    """Groups that touch several blocks, items with and without an order, nulls among them."""
+    from skeinwork.operators import pairs
+
+    monkeypatch.setattr(pairs, "TURNS", 3)
+    made = {"int": lambda k: k, "double": lambda k: k / 4 - 3, "string": lambda k: f"s{k}", "date": lambda k: dt.date(2024, 1, 1 + k)}[kind]
+    data = [(c, None if (c + k) % 17 == 0 else made(k), float(c * k % 7) - 2) for c in range(12) for k in range(25) if (c * 7 + k * k) % 3] + [(c, made(24), math.inf) for c in (1, 5)]
+    cells = lambda name: Aggregate(name, "t", ("c", "i"), ("sum(v)",))
+    nodes = [given(spark, data, f"c int, i {kind}, v double"), cells("A"), cells("B"), Combine("P", "A", "B", (("c", "=", "c"),), (("m0", "*", "m0"),)), Aggregate("S", "P", ("i", "i2"), ("sum(m0)",))]
+    nodes.append(Aggregate("N", "A", ("i",), ("count(*)",)))
+    for k, side in enumerate(sides):
+        nodes.append(Combine(f"J{k}", nodes[-1].name if k else "S", "N", ((side, "=", "i"),), (("m0", "/", "m0"),)))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "15")  # five blocks
+    try:
+        found = compile_node(Chain("c", nodes), spark, "", f"J{len(sides) - 1}" if sides else "S")
+        assert "direct_shuffle_partition_id(block" in found._jdf.queryExecution().executedPlan().toString() and "), 5), REPARTITION" in found._jdf.queryExecution().executedPlan().toString()
+        got, want = rows(found.collect()), rows(compile_node(Chain("c", nodes), spark, "", f"J{len(sides) - 1}" if sides else "S", False).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert got == want and len(want) > 400
+
+
+def test_a_group_goes_once_to_each_block(spark):
+    """What is moved before pairs are made: not a row for each cell with all that follow it."""
+    from skeinwork.operators import pairs
+
+    data = [(c, 100 * (c % 4) + k, 1.0) for c in range(20) for k in range(30)]
+    cells = pairs.blocked(spark.createDataFrame(data, "c int, i int, v double"), "i", "v", 4)
+    moved = pairs.tails(cells, ["c"], ["i", "v"], 4).collect()
+    assert sum(r.own for r in moved) == 600 and all(len(r.all0) >= r.own for r in moved)
+    assert len(moved) <= 2 * 20 and sum(len(r.all0) for r in moved) <= 2 * 600  # 600 rows with 9,300 cells, if each cell went with those from itself on
+    assert {r.block for r in moved} == {0, 1, 2, 3}
+
+
+def test_cells_go_through_one_exchange_by_item(spark):
+    """Cells, the search for cuts, norms and the join with them share it, and all turns share the exchange of groups."""
+    kept = {o: spark.conf.get(o) for o in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = compile_node(CHAINS["OR-C2"], spark, SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for o, v in kept.items():
+            spark.conf.set(o, v)
+    made = [x.split("Exchange ")[1].split("(")[0] for x in plan.splitlines() if "Exchange " in x and "Reused" not in x and "Broadcast" not in x]
+    # orders, lines, cells by item, cells by customer, groups by block; SinglePartition for the cuts
+    assert sorted(made)[1:] == ["hashpartitioning"] * 4 + ["shufflepartitionidpassthrough"], made
