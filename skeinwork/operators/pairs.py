@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators.ranges import STEPS, as_double, orderable, ranged
 
-#: The most tasks that read a block, each for its share of the block's items.
-TURNS = 16
+#: The most tasks that read a block, each for its share of the block's items. Each is a branch of the plan, which the driver holds.
+TURNS = 8
 
 
 def shares(tasks: int) -> tuple[int, int]:
@@ -43,8 +43,9 @@ def blocked(cells: DataFrame, item: str, value: str, blocks: int) -> DataFrame:
         return cells.withColumn("__block", F.lit(0))
     if not orderable(kind):
         return cells.withColumn("__block", F.pmod(F.hash(item), F.lit(blocks)))
-    at = ranged(cells, as_double(F.col(item), kind), "__range", among=cells.where(F.col(value).isNotNull()))
-    return at.withColumn("__block", F.least(F.floor(F.col("__range") * blocks / 2**STEPS), F.lit(blocks - 1)).cast("int")).drop("__range")
+    steps = min((blocks - 1).bit_length() + 3, STEPS)  # each turn's branch repeats them
+    at = ranged(cells, as_double(F.col(item), kind), "__range", among=cells.where(F.col(value).isNotNull()), steps=steps)
+    return at.withColumn("__block", F.least(F.floor(F.col("__range") * blocks / 2**steps), F.lit(blocks - 1)).cast("int")).drop("__range")
 
 
 def tails(cells: DataFrame, by: list[str], fields: list[str], blocks: int) -> DataFrame:
@@ -61,7 +62,7 @@ def tails(cells: DataFrame, by: list[str], fields: list[str], blocks: int) -> Da
     return groups.select("*", F.explode(F.array_distinct("of")).alias("block")).withColumn("at", F.array_position("of", F.col("block")).cast("int")).select(
         "block", (F.size("of") - F.size(F.array_remove("of", F.col("block")))).alias("own"),
         *[F.slice(f"all{k}", F.col("at"), F.size("all0") - F.col("at") + 1).alias(f"all{k}") for k in range(len(fields))],
-    ).repartitionById(blocks, "block")
+    ).repartitionById(max(blocks, 2), "block")  # a union of single partitions would be one task
 
 
 def summed(cells: DataFrame, by: list[str], item: str, value: str, kept: list[str], blocks: int, turns: int) -> DataFrame:

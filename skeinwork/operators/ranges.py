@@ -13,7 +13,7 @@ STEPS = 12
 #: aggregation does not grow with the input.
 FILE_BYTES, MERGED_BYTES = 4 << 20, 16 << 20
 #: Bytes of the tables' files for each task that pairs cells: there are many times as many pairs as cells.
-PAIRED_BYTES = 1 << 20
+PAIRED_BYTES = 2 << 20
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -48,15 +48,15 @@ def as_double(value: Column, kind: DataType) -> Column:
     return value.cast("double") if isinstance(kind, NumericType) else value.cast("timestamp").cast("double")
 
 
-def ranged(df: DataFrame, value: Column, name: str, down: bool = False, among: DataFrame | None = None) -> DataFrame:
+def ranged(df: DataFrame, value: Column, name: str, down: bool = False, among: DataFrame | None = None, steps: int = STEPS) -> DataFrame:
     """``df`` with the number of each row's range, ascending (or descending) as ``value`` (a double) is, and null in the last one. Equal values share a
     range. The cuts come from a sketch of bounded size, merged from the tasks', of the rows or of those ``among`` them."""
     finite = (df if among is None else among).select(F.when(F.abs(value) < float("inf"), value).alias("__finite"))
     # as text, for thousands of literals cross to the JVM one by one otherwise
-    cuts = finite.selectExpr(f"percentile_approx(__finite, array({', '.join(f'{k / 2**STEPS}D' for k in range(1, 2**STEPS))}), {2 ** (STEPS + 1)}) AS __cuts")
-    last = F.lit(2**STEPS)
+    cuts = finite.selectExpr(f"percentile_approx(__finite, array({', '.join(f'{k / 2**steps}D' for k in range(1, 2**steps))}), {2 ** (STEPS + 1)}) AS __cuts")
+    last = F.lit(2**steps)
     df = df.withColumn("__value", value).crossJoin(F.broadcast(cuts)).withColumn("__at", F.lit(0))  # one row by its definition
-    for k in reversed(range(STEPS)):  # a column a step compiles, where a lambda over the steps is interpreted row by row
+    for k in reversed(range(steps)):  # a column a step compiles, where a lambda over the steps is interpreted row by row
         df = df.withColumn("__at", F.col("__at") + F.when(F.element_at("__cuts", F.col("__at") + 2**k) < F.col("__value"), 2**k).otherwise(0))
     number = F.when(F.col("__value").isNull(), last).otherwise(-F.col("__at") if down else F.col("__at"))
     return df.withColumn(name, number).drop("__cuts", "__value", "__at")

@@ -314,6 +314,9 @@ def test_a_group_goes_once_to_each_block(spark):
     assert sum(r.own for r in moved) == 600 and all(len(r.all0) >= r.own for r in moved)
     assert len(moved) <= 2 * 20 and sum(len(r.all0) for r in moved) <= 2 * 600  # 600 rows with 9,300 cells, if each cell went with those from itself on
     assert {r.block for r in moved} == {0, 1, 2, 3}
+    for blocks in (1, 4):  # each turn has tasks of its own
+        sums = pairs.summed(pairs.blocked(cells.drop("__block"), "i", "v", blocks), ["c"], "i", "v", [], blocks, 3)
+        assert sums.rdd.getNumPartitions() >= 3 * blocks and sums.count() == 4 * 900
 
 
 def test_cells_go_through_one_exchange_by_item(spark):
